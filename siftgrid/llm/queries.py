@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, pii, quality, token_counts, toxicity
 from .common import table
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -18,9 +23,27 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), toxicity.held_out_fold()
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold)
+    return toxicity.score_documents(docs, model).select("doc_id", fold.alias("held_out"), "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op3_decontaminate": op3_decontaminate,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_pii": op7_pii,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
