@@ -63,7 +63,7 @@ def char_positions(raw: np.ndarray) -> np.ndarray:
 
 def token_chars(chars: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character span of each token from the byte positions where tokens end."""
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], ends]).astype(np.int64)[:-1]
     first = np.maximum(chars[np.minimum(starts + 1, len(chars) - 1)] - 1, 0)
     return first, chars[ends]
 
