@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, quality, substrings, token_counts, topk, toxicity
+from . import bpe, chat, decontaminate, neardup, pii, quality, substrings, token_counts, topk, toxicity
 from .common import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
@@ -54,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_token_counts": op2_token_counts,
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": op4_topk,
