@@ -26,11 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, lean
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED_PIECES = 500_000
+REMEMBERED_PIECES = 250_000
 MAX_REMEMBERED_BYTES = 64
 
 
@@ -223,4 +223,4 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], ["doc_id", "n_tokens", *names])
 
     columns = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return id_and_text(docs).mapInArrow(run, f"doc_id long, n_tokens long, {columns}")
+    return id_and_text(docs).mapInArrow(lean(run), f"doc_id long, n_tokens long, {columns}")

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 ROLES = ("system", "user", "assistant")
 BLOCK_ROWS = 512
 #: How often the first line of a turn has its marker, none, or another role's.
@@ -213,7 +215,7 @@ def parse(transcripts: DataFrame, model: Model, key: str = "conv_id", order: str
     def dealt(frame: DataFrame, *more: str) -> DataFrame:
         return frame.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *more, "seq", "text")
 
-    fixed = dealt(rows.join(long, "conv_id", "left_semi")).mapInArrow(tables, "conv_id long, block long, one array<double>, best array<double>").select("conv_id", "block", "best").groupBy("conv_id").applyInPandas(ends, "conv_id long, block long, entry int, leave int")
+    fixed = dealt(rows.join(long, "conv_id", "left_semi")).mapInArrow(lean(tables), "conv_id long, block long, one array<double>, best array<double>").select("conv_id", "block", "best").groupBy("conv_id").applyInPandas(ends, "conv_id long, block long, entry int, leave int")
     joined = rows.join(fixed, ["conv_id", "block"], "left").select("conv_id", "block", "entry", "leave", "seq", "text")
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,7 @@ def parse(transcripts: DataFrame, model: Model, key: str = "conv_id", order: str
         if out:
             yield _turn_batch(out)
 
-    return dealt(joined, "entry", "leave").mapInArrow(turns, "conv_id long, block long, turn long, role string, text string, continued boolean")
+    return dealt(joined, "entry", "leave").mapInArrow(lean(turns), "conv_id long, block long, turn long, role string, text string, continued boolean")
 
 
 def _turn_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -8,6 +8,7 @@ code point is >= 0x80, the byte-wise scan equals the code-point pattern
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -138,18 +139,32 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
-    """Apply a batch function in Arrow form, one batch at a time."""
+def _trim() -> None:
+    """Give freed memory back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to do
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = rows(batch)
-            if isinstance(out, pa.Table):
-                yield from out.to_batches()
-            else:
-                yield out
 
-    return df.mapInArrow(run, schema)
+def lean(function: Callable) -> Callable:
+    """The same function of batches, which trims its worker's memory at the end of a task."""
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _trim()
+
+    return over_batches
+
+
+def lean_group(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def over_group(table: pa.Table) -> pa.Table:
+        out = function(table)
+        _trim()
+        return out
+
+    return over_group
 
 
 def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

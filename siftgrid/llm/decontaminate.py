@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, id_and_text, mix64, prefix_hash, span_hash, text_buffers, word_spans
+from .common import LOWER, blocks, id_and_text, lean, mix64, prefix_hash, span_hash, text_buffers, word_spans
 
 WINDOW = 8
 SHARD_WORDS = 100_000
@@ -258,12 +258,12 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_ke
 
     frame = id_and_text(docs)
     if len(shards) == 1:
-        return frame.mapInArrow(scan(shards[0]), f"doc_id long, {_MATCH}")
+        return frame.mapInArrow(lean(scan(shards[0])), f"doc_id long, {_MATCH}")
     # Several shards: unite what each found, per row; equal rows have equal results.
     parts = None
     keyed = frame.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
     for shard in shards:
-        one = keyed.mapInArrow(_with_key(scan(shard)), f"doc_id long, key string, {_MATCH}")
+        one = keyed.mapInArrow(lean(_with_key(scan(shard))), f"doc_id long, key string, {_MATCH}")
         parts = one if parts is None else parts.unionByName(one)
 
     def unite(runs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_ke
 
     merged = parts.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(shards)).cast("int").alias("copies"))
     merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
-    return merged.mapInArrow(unite, f"doc_id long, {_MATCH}")
+    return merged.mapInArrow(lean(unite), f"doc_id long, {_MATCH}")
 
 
 def _with_key(run):
@@ -342,7 +342,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
                 columns[at_size] = pa.array(sizes, batch.schema.field(at_size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def sha_of(items: list[str]) -> str:

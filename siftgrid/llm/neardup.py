@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, checkpoint, id_and_text, mix64, prefix_hash, span_hash, text_buffers, word_spans
+from .common import LOWER, blocks, checkpoint, id_and_text, lean, lean_group, mix64, prefix_hash, span_hash, text_buffers, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -126,7 +126,7 @@ def document_frequencies(frame: DataFrame) -> np.ndarray:
             total += np.frombuffer(zstandard.decompress(blob.as_py()), dtype=np.int64)
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "cells": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
 
-    sums = frame.select("text").mapInArrow(count, "chunk int, salt int, cells binary").groupBy("chunk", "salt").applyInArrow(add, "chunk int, cells binary").groupBy("chunk").applyInArrow(add, "chunk int, cells binary")
+    sums = frame.select("text").mapInArrow(lean(count), "chunk int, salt int, cells binary").groupBy("chunk", "salt").applyInArrow(lean_group(add), "chunk int, cells binary").groupBy("chunk").applyInArrow(lean_group(add), "chunk int, cells binary")
     out = np.zeros(CELLS, dtype=np.int64)
     for r in sums.collect():
         out[r["chunk"] * CELL_CHUNK :][:CELL_CHUNK] = np.frombuffer(zstandard.decompress(bytes(r["cells"])), dtype=np.int64)
@@ -192,7 +192,7 @@ def signatures(frame: DataFrame, idf) -> DataFrame:
             body = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "body", "keys"])
 
-    return frame.mapInArrow(run, "doc_id long, body binary, keys array<long>")
+    return frame.mapInArrow(lean(run), "doc_id long, body binary, keys array<long>")
 
 
 # ---- verification ----------------------------------------------------------
@@ -232,7 +232,7 @@ def _set_rows(frame: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
             flat = places.flatten()
             yield pa.RecordBatch.from_arrays([flat.field("g"), flat.field("tag"), batch.column(0).take(at), pa.array(sets, pa.binary()).take(at)], ["g", "tag", "node", "words"])
 
-    return chosen.mapInArrow(run, "g long, tag long, node long, words binary")
+    return chosen.mapInArrow(lean(run), "g long, tag long, node long, words binary")
 
 
 def _unpacked(blob: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -277,7 +277,7 @@ def link_to_least(frame: DataFrame, members: DataFrame, idf) -> DataFrame:
                 found.append((int(tag), int(nodes[i])))
         return _links(found)
 
-    return _set_rows(frame, *_by_size(wanted)).groupBy("g").applyInArrow(verify, _LINKS)
+    return _set_rows(frame, *_by_size(wanted)).groupBy("g").applyInArrow(lean_group(verify), _LINKS)
 
 
 def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) -> DataFrame:
@@ -321,7 +321,7 @@ def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) ->
         return _links(found)
 
     named_sets = _set_rows(frame, *_by_size(place)).join(labels, "node", "left").select("g", "tag", "node", F.coalesce("label", "node").alias("label"), "words")
-    return named_sets.groupBy("g").applyInArrow(verify, _LINKS)
+    return named_sets.groupBy("g").applyInArrow(lean_group(verify), _LINKS)
 
 
 # ---- components ------------------------------------------------------------

@@ -27,7 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, lean
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds in the order of listing; the last two come from the model only.
@@ -346,7 +346,7 @@ def detect(docs: DataFrame) -> DataFrame:
                 listed.append(written(spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE_KINDS), pa.array(digests, pa.string()), pa.array(listed, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return id_and_text(docs).mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -387,4 +387,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[at_size] = pa.array(sizes, batch.schema.field(at_size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, text_buffers
+from .common import blocks, checkpoint, lean, text_buffers
 
 ORDER = 4
 BITS = 6
@@ -99,7 +99,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             part = found[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["code", "n"])
 
-    return docs.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -199,7 +199,7 @@ def log_losses(docs: DataFrame, losses: Losses) -> DataFrame:
                 loss.append(np.round(np.diff(total[bounds]), 6))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(chars) if chars else [], pa.int64()), pa.array(np.concatenate(loss) if loss else [], pa.float64())], ["doc_id", "lang", "chars", "loss"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang string, chars long, loss double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, lang string, chars long, loss double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, id_and_text, mix64, prefix_hash, span_hash, text_buffers
+from .common import blocks, checkpoint, id_and_text, lean, lean_group, mix64, prefix_hash, span_hash, text_buffers
 
 LENGTH = 100
 TOKEN = 24
@@ -213,7 +213,7 @@ def splitters(docs: DataFrame, rows: int, buckets: int) -> tuple[np.ndarray, np.
                 few = np.concatenate(few)
                 yield pa.RecordBatch.from_arrays([pa.array(s["lead"][few].view(np.int64)), pa.array(s["segment"][few].view(np.int64))], ["lead", "segment"])
 
-    found = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).mapInArrow(run, "lead long, segment long").distinct().orderBy(F.xxhash64("lead", "segment")).limit(SAMPLE_DOCUMENTS * SAMPLE_PER_DOCUMENT).toPandas()
+    found = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).mapInArrow(lean(run), "lead long, segment long").distinct().orderBy(F.xxhash64("lead", "segment")).limit(SAMPLE_DOCUMENTS * SAMPLE_PER_DOCUMENT).toPandas()
     lead, segment = (found[c].to_numpy(np.int64).view(np.uint64) for c in ("lead", "segment"))
     order = multikey_order([lead, segment]) if len(lead) else np.zeros(0, np.int64)
     at = order[np.linspace(0, len(order), buckets + 1).astype(int)[1:-1]] if len(order) > buckets else order
@@ -259,7 +259,7 @@ def send_anchors(docs: DataFrame, bounds: tuple[np.ndarray, np.ndarray]) -> Data
         if chunk:
             yield flush(chunk)
 
-    return docs.mapInArrow(run, _BLOBS)
+    return docs.mapInArrow(lean(run), _BLOBS)
 
 
 def _gathered(table: pa.Table, kind: int, kinds: list[tuple[type, bool]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -290,7 +290,7 @@ def earliest(anchors: DataFrame, parts: int) -> DataFrame:
         n = ((n & 0xFF) | np.repeat(flag, count)).astype(np.uint16)
         return pa.Table.from_batches([_rows([(g, 1, pack([(doc[r], True), (start[r], True), (n[r], False)])) for g, r in by_group(part_of(doc, parts), doc, start)])])
 
-    return anchors.groupBy("g").applyInArrow(bucket, _BLOBS)
+    return anchors.groupBy("g").applyInArrow(lean_group(bucket), _BLOBS)
 
 
 def send_documents(docs: DataFrame, parts: int) -> DataFrame:
@@ -300,7 +300,7 @@ def send_documents(docs: DataFrame, parts: int) -> DataFrame:
             ids, sizes, null = _ids(batch), np.diff(offsets), np.asarray(batch.column(0).is_null())
             yield _rows([(g, 0, pack([(ids[r], False), (sizes[r], False), (null[r].astype(np.uint8), False)], b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in r.tolist()))) for g, r in by_group(part_of(ids, parts))])
 
-    return docs.mapInArrow(run, _BLOBS)
+    return docs.mapInArrow(lean(run), _BLOBS)
 
 
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -346,7 +346,7 @@ def send_ambiguous(part_rows: DataFrame, buckets: int) -> DataFrame:
                         rows.append((buckets + g, 1, pack([(h[r], False), (h2[r], False), (d[r], True), (x[r], True)])))
         return pa.Table.from_batches([_rows(rows)])
 
-    return part_rows.groupBy("g").applyInArrow(run, _BLOBS)
+    return part_rows.groupBy("g").applyInArrow(lean_group(run), _BLOBS)
 
 
 def window_hashes(prefix: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +384,7 @@ def compare_windows(ambiguous: DataFrame, parts: int) -> DataFrame:
         doc, start, size = doc[head], start[head], np.diff(np.append(head, len(doc)))
         return pa.Table.from_batches([_rows([(g, 2, pack([(doc[r], True), (start[r], True), (size[r], False)])) for g, r in by_group(part_of(doc, parts), doc, start)])])
 
-    return ambiguous.groupBy("g").applyInArrow(run, _BLOBS)
+    return ambiguous.groupBy("g").applyInArrow(lean_group(run), _BLOBS)
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -437,7 +437,7 @@ def apply_marks(part_rows: DataFrame, digest: bool) -> DataFrame:
         columns = list(zip(*out)) if out else [[] for _ in schema]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return part_rows.groupBy("g").applyInArrow(run, _DIGEST if digest else _FULL)
+    return part_rows.groupBy("g").applyInArrow(lean_group(run), _DIGEST if digest else _FULL)
 
 
 def dedup_substrings(docs: DataFrame, digest: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import id_and_text
+from .common import id_and_text, lean
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RULES = ("start", "end", "majority")
@@ -143,4 +143,4 @@ def count_tokens(docs: DataFrame, sections: DataFrame | None = None, rule: str =
             at, *rest = (np.concatenate(c) for c in zip(*rows))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in rest)], ["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing"])
 
-    return frame.mapInArrow(run, _SCHEMA)
+    return frame.mapInArrow(lean(run), _SCHEMA)

@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import lean_group
+
 BLOCK_ROWS = 8_192
 QUERY_BLOCK_ROWS = 512
 #: Query blocks that meet a block of candidates in one task.
@@ -191,7 +193,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
         columns = list(zip(*out)) if out else [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = data.unionByName(asks).groupBy("block", "share").applyInArrow(pair, "query_id long, vec_id long, score long")
+    found = data.unionByName(asks).groupBy("block", "share").applyInArrow(lean_group(pair), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

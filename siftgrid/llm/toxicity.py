@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, hash_bytes, id_and_text, mix64, prefix_hash, span_hash, text_buffers, word_spans
+from .common import LOWER, blocks, hash_bytes, id_and_text, lean, mix64, prefix_hash, span_hash, text_buffers, word_spans
 
 MAX_FIT_ROWS = 30_000
 MAX_LEXICON = 20_000
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
                     least[i + row[heads]] = np.minimum.reduceat(two, heads)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least.view(np.int64))], ["doc_id", "least"])
 
-    kept = frame.mapInArrow(least_shingles, "doc_id long, least long").groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().collect()
+    kept = frame.mapInArrow(lean(least_shingles), "doc_id long, least long").groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().collect()
     kept_ids = np.array(sorted(r["doc_id"] for r in kept), dtype=np.int64)
     toxic_ids = np.array([i for i in kept_ids.tolist() if sample[i]], dtype=np.int64)
     n_toxic, n_clean = max(1, len(toxic_ids)), max(1, len(kept_ids) - len(toxic_ids))
@@ -262,12 +262,12 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
 
     counts = "h long, toxic long, clean long"
     need = max(MIN_TEXTS, int(MIN_SHARE * n_toxic))
-    common = frame.mapInArrow(features(toxic, None), counts).groupBy("h").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= need).orderBy(F.desc("toxic"), "h").limit(MAX_LEXICON).collect()
+    common = frame.mapInArrow(lean(features(toxic, None)), counts).groupBy("h").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= need).orderBy(F.desc("toxic"), "h").limit(MAX_LEXICON).collect()
     candidates = np.array([r["h"] for r in common], dtype=np.int64).view(np.uint64)
     model = Model()
     if len(candidates):
         held = context.broadcast(candidates)
-        rows = frame.mapInArrow(features(some, held), counts).groupBy("h").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).orderBy("h").collect()
+        rows = frame.mapInArrow(lean(features(some, held)), counts).groupBy("h").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).orderBy("h").collect()
         t, c = (np.array([r[k] for r in rows], dtype=float) for k in ("t", "c"))
         lift = (t + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1))
         good = lift >= MIN_LIFT
@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
             x = np.round(_strengths(batch, scanner.value) * 4).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(marked.astype(np.int64))], ["x", "y"])
 
-    bins = frame.mapInArrow(curve, "x long, y long").groupBy("x").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+    bins = frame.mapInArrow(lean(curve), "x long, y long").groupBy("x").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
     model.bias, model.slope = _logistic(*(np.array([r[k] for r in bins], dtype=float) for k in ("x", "y", "n")))
     return model
 
@@ -315,7 +315,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             score = scanner.value.model.score(_strengths(batch, scanner.value))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return id_and_text(docs).mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -328,7 +328,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
             score = scanner.value.model.score(_strengths(batch, scanner.value, at_text))
             yield batch.filter(pa.array(score < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out_fold(doc_id: str = "doc_id") -> Column:
