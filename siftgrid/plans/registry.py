@@ -1,11 +1,593 @@
-"""Named queries over the standard tables, with equivalent SQL."""
+"""Named queries over the standard tables, with equivalent SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import legal, text, tokens
+from ..operators import bm25, chunking, dense, gold, hybrid, metrics, pairs
+from . import evaluation, tables
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL if there is one."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+# ---- SQL pieces ------------------------------------------------------------
+
+
+def n_(x: str) -> str:
+    """Normalized text."""
+    return f"regexp_replace(strip_accents(lower(replace(replace(coalesce({x}, ''), 'ß', 'ss'), 'ı', 'i'))), '\\p{{Mn}}+', '', 'g')"
+
+
+def runs_(x: str) -> str:
+    return f"regexp_extract_all({n_(x)}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+def grams_(t: str) -> str:
+    return f"[('char:' || substr({t}, CAST(i AS BIGINT), 4)) for i in range(1, greatest(length({t}) - 2, 1))]"
+
+
+def terms_(x: str) -> str:
+    return f"flatten([list_concat([t], {grams_('t')}) for t in {runs_(x)} if length(t) >= 2])"
+
+
+def content_(x: str, use: str = "mining") -> str:
+    stop = ", ".join(f"'{w}'" for w in tokens.STOPWORDS[use])
+    return f"[t for t in {runs_(x)} if length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN ({stop})]"
+
+
+def words_(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def split_(x: str) -> str:
+    return f"regexp_extract_all({x}, '\\S+')"
+
+
+ARTICLES = """
+a AS (SELECT doc_id, source || '_madde_' || doc_id AS id, 'Law ' || source AS law_name, source AS law_no, 'Madde ' || doc_id AS article_no,
+      substr(text, 1, 40) AS article_title, text, lang AS source_url FROM documents WHERE text IS NOT NULL)"""
+
+POSTINGS = f"""
+toks AS (SELECT doc_id, {terms_('text')} AS terms FROM documents WHERE text IS NOT NULL),
+dl AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS dl FROM toks),
+post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM toks) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+tot AS (SELECT count(*) AS n, sum(dl) / greatest(count(*), 1) AS avgdl FROM dl)"""
+
+WEIGHT = "ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * greatest(dl, 1) / avgdl)))"
+
+
+def scores_(times_qtf: bool = True, where: str = "") -> str:
+    return f"""
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({terms_('text')}) AS term FROM benchmark) GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, round(sum({WEIGHT}{' * qtf' if times_qtf else ''}), 9) AS bm25
+       FROM q JOIN post USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN tot {where} GROUP BY ALL)"""
+
+
+DENSE = """
+dn AS (SELECT b.item_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS dense
+       FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id CROSS JOIN embeddings v),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, doc_id) AS rank FROM dn)"""
+
+
+def blend_(source: str, keys: str, alpha: str, k: str) -> str:
+    scaled = lambda c: f"CASE WHEN min({c}_raw) OVER w = max({c}_raw) OVER w THEN 1.0 ELSE ({c}_raw - min({c}_raw) OVER w) / (max({c}_raw) OVER w - min({c}_raw) OVER w) END"
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 9) DESC, doc_id) AS rank FROM
+      (SELECT *, {alpha} * dense + (1 - {alpha}) * bm25 AS score FROM (SELECT *, {scaled('dense')} AS dense, {scaled('bm25')} AS bm25 FROM {source} WINDOW w AS (PARTITION BY {keys})))) WHERE rank <= {k})"""
+
+
+HYBRID = f"""{POSTINGS}, {scores_()}, {DENSE},
+bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id DESC) AS rank FROM bm),
+pool AS (SELECT query_id, doc_id, coalesce(max(dense), 0.0) AS dense_raw, coalesce(max(bm25), 0.0) AS bm25_raw FROM (
+  SELECT query_id, doc_id, dense, NULL AS bm25 FROM near WHERE rank <= 150 UNION ALL SELECT query_id, doc_id, NULL, bm25 FROM bmr WHERE rank <= 250) GROUP BY ALL),
+hy AS {blend_('pool', 'query_id', '0.55', '80')}"""
+
+
+# ---- shared plans ----------------------------------------------------------
+
+
+def _steady(frame: DataFrame, column: str) -> DataFrame:
+    """Scores rounded before they decide an order, so that the last bits of sums don't."""
+    return frame.withColumn(column, F.round(column, 9))
+
+
+def _index(spark: SparkSession, d: str) -> bm25.Index:
+    return bm25.build_index(tables.articles(spark, d))
+
+
+def _words(spark: SparkSession, d: str, k: int = 250) -> DataFrame:
+    return bm25.top(_steady(bm25.score(_index(spark, d), tables.questions(spark, d)), "bm25"), k)
+
+
+def _near(spark: SparkSession, d: str, k: int = 150) -> DataFrame:
+    return _steady(dense.search(tables.vectors(spark, d), tables.questions(spark, d).where("embedding is not null"), k), "dense")
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    pool = hybrid.candidates(_near(spark, d), _words(spark, d))
+    return _blended(pool, hybrid.ALPHA, hybrid.PRELIMINARY)
+
+
+def _blended(pool: DataFrame, alpha, k, keys: list[str] | None = None) -> DataFrame:
+    return hybrid.blend(pool, alpha, k, keys)
+
+
+def _reranked(spark: SparkSession, d: str, ranked: DataFrame) -> DataFrame:
+    """Reranked by a stand-in for a cross-encoder: containment of content words, prepared per text."""
+    passages = tables.articles(spark, d).select("doc_id", tokens.content_set(F.col("text")).alias("text"))
+    asked = tables.questions(spark, d).select("query_id", tokens.content_set(F.col("question")).alias("question"))
+    return hybrid.rerank(ranked, passages, asked, tokens.containment).drop("question")
+
+
+# ---- text functions --------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({n_('text')}) AS normalized, CAST(len({runs_('text')}) AS BIGINT) AS n_runs FROM documents")
+def normalized_text(spark, d):
+    docs = tables.table(spark, d, "documents")
+    plain = text.normalize(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", F.md5(plain.cast("binary")).alias("normalized"), F.size(tokens.runs(plain)).cast("long").alias("n_runs"))
+
+
+@query(f"SELECT doc_id, CAST(len({terms_('text')}) AS BIGINT) AS n_terms, CAST(len(list_distinct({terms_('text')})) AS BIGINT) AS n_distinct, md5(array_to_string(list_sort({terms_('text')}), ' ')) AS terms FROM documents")
+def index_terms(spark, d):
+    terms = tokens.index_terms(F.col("text"))
+    return tables.table(spark, d, "documents").select("doc_id", F.size(terms).cast("long").alias("n_terms"), F.size(F.array_distinct(terms)).cast("long").alias("n_distinct"), F.md5(F.array_join(F.array_sort(terms), " ").cast("binary")).alias("terms"))
+
+
+_NUMBERS = "CASE t " + " ".join(f"WHEN '{k}' THEN ['{k}', '{v}']" for k, v in tokens.NUMBER_WORDS.items()) + " ELSE [t] END"
+
+
+@query(f"SELECT doc_id, CAST(len(x) AS BIGINT) AS n, md5(array_to_string(list_sort(x), ' ')) AS terms FROM (SELECT doc_id, flatten([{_NUMBERS} for t in regexp_extract_all({n_('text')}, '{tokens.ASCII_TURKISH_RUNS}')]) AS x FROM documents)")
+def number_terms(spark, d):
+    terms = tokens.number_terms(F.col("text"))
+    return tables.table(spark, d, "documents").select("doc_id", F.size(terms).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(terms), " ").cast("binary")).alias("terms"))
+
+
+@query(f"SELECT doc_id, CAST(len(x) AS BIGINT) AS n, md5(array_to_string(list_sort(x), ' ')) AS terms FROM (SELECT doc_id, flatten([list_concat({_NUMBERS}, {grams_('t')}) for t in {runs_('text')}]) AS x FROM documents)")
+def number_gram_terms(spark, d):
+    terms = tokens.number_gram_terms(F.col("text"))
+    return tables.table(spark, d, "documents").select("doc_id", F.size(terms).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(terms), " ").cast("binary")).alias("terms"))
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{u}' AS used_for, CAST(len(list_distinct({content_('text', u)})) AS BIGINT) AS n_distinct, md5(array_to_string({content_('text', u)}, ' ')) AS terms FROM documents" for u in tokens.STOPWORDS) + ")")
+def content_terms(spark, d):
+    docs = tables.table(spark, d, "documents")
+    made = F.array(*[F.struct(F.lit(u).alias("used_for"), F.size(tokens.content_set(F.col("text"), u)).cast("long").alias("n_distinct"), F.md5(F.array_join(tokens.content_terms(F.col("text"), u), " ").cast("binary")).alias("terms")) for u in tokens.STOPWORDS])
+    return docs.select("doc_id", F.explode(made).alias("m")).select("doc_id", "m.*")
+
+
+@query("""SELECT doc_id, coalesce(nullif(trim(regexp_replace(translate(lower(trim(source || ' ' || substr(text, 1, 30))), 'çğıöşü', 'cgiosu'), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'doc') AS slug,
+  'custom_' || substr(sha1(text), 1, 10) AS digest_id,
+  CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_words,
+  substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 100) AS short_text,
+  translate(lower(substr(text, 1, 60)), 'çğıöşü', 'cgiosu') AS light,
+  coalesce(nullif(trim(regexp_replace(substr(text, 1, 25), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'file') AS file_name
+FROM documents WHERE text IS NOT NULL""")
+def text_identifiers(spark, d):
+    docs = tables.table(spark, d, "documents").where("text is not null")
+    body = F.col("text")
+    return docs.select("doc_id", text.slug(F.concat_ws(" ", "source", F.substring("text", 1, 30))).alias("slug"), text.digest_id(body).alias("digest_id"), text.word_count(body).cast("long").alias("n_words"), text.short_text(body, 100).alias("short_text"), text.normalize_light(F.substring("text", 1, 60)).alias("light"), text.safe_filename(F.substring("text", 1, 25), F.lit("file")).alias("file_name"))
+
+
+@query(f"""WITH {ARTICLES}
+SELECT id, law_name || ' (' || law_no || '), ' || article_no || CASE WHEN trim(article_title) <> '' THEN ' - ' || trim(article_title) ELSE '' END AS citation,
+  md5(law_name || ' ' || law_no || ' ' || article_no || ' ' || article_title || ' ' || text) AS searchable,
+  md5('passage: ' || text) AS passage
+FROM a""")
+def citations(spark, d):
+    a = tables.articles(spark, d)
+    fields = [F.col(c) for c in chunking.FIELDS]
+    return a.select("id", legal.citation(*fields).alias("citation"), F.md5(legal.searchable(*fields, F.col("text")).cast("binary")).alias("searchable"), F.md5(dense.passage_text(F.col("text"), "passage: ").cast("binary")).alias("passage"))
+
+
+@query("""WITH x AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Madde ' || doc_id || '/B' WHEN 1 THEN 'Ek Madde ' || doc_id WHEN 2 THEN 'Geçici Madde ' || doc_id WHEN 3 THEN 'MÜKERRER MADDE ' || doc_id WHEN 4 THEN 'm. ' || doc_id || ' (mülga)' ELSE 'article ' || doc_id END AS h FROM documents),
+y AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN doc_id || '/b' WHEN 1 THEN 'ek_' || doc_id WHEN 2 THEN 'gecici_' || doc_id WHEN 3 THEN 'mukerrer_' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS number FROM x)
+SELECT doc_id, number, CASE WHEN regexp_matches(number, '^(ek|gecici|mukerrer)_') THEN number || ',' || doc_id ELSE number END AS variants,
+  CASE WHEN doc_id % 6 IN (0, 1, 2, 3) THEN CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 6 = 0 THEN '/B' ELSE '' END WHEN doc_id % 6 = 4 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS mentioned,
+  '4857-' || doc_id AS reference
+FROM y""")
+def article_numbers(spark, d):
+    i = F.col("doc_id").cast("string")
+    m = F.col("doc_id") % 6
+    header = F.when(m == 0, F.concat(F.lit("Madde "), i, F.lit("/B"))).when(m == 1, F.concat(F.lit("Ek Madde "), i)).when(m == 2, F.concat(F.lit("Geçici Madde "), i)).when(m == 3, F.concat(F.lit("MÜKERRER MADDE "), i)).when(m == 4, F.concat(F.lit("m. "), i, F.lit(" (mülga)"))).otherwise(F.concat(F.lit("article "), i))
+    ref = legal.source_reference(F.concat(F.lit("x_4857_is_kanunu_m"), i))
+    docs = tables.table(spark, d, "documents").select("doc_id", header.alias("h"), ref.alias("r"))
+    return docs.select("doc_id", legal.article_number(F.col("h")).alias("number"), F.array_join(legal.article_variants(F.col("h")), ",").alias("variants"), legal.first_mentioned_article(F.col("h")).alias("mentioned"), F.concat_ws("-", F.col("r.law_no"), F.col("r.article_no")).alias("reference"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, substr(text, 1, 20 + doc_id % 260) AS question FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (length(question) < 18 OR length(question) > 240 OR regexp_matches({n_('question')}, '{"|".join(f"(?:{p})" for p in legal.BAD_QUESTION_PATTERNS)}')) AS bad,
+  CASE WHEN trim(regexp_replace(question, '\\s+', ' ', 'g')) <> '' AND NOT ends_with(trim(regexp_replace(question, '\\s+', ' ', 'g')), '?') THEN trim(regexp_replace(question, '\\s+', ' ', 'g')) || '?' ELSE trim(regexp_replace(question, '\\s+', ' ', 'g')) END AS readable
+FROM x""")
+def question_hygiene(spark, d):
+    docs = tables.table(spark, d, "documents").where("text is not null").select("doc_id", F.expr("substr(text, 1, cast(20 + doc_id % 260 as int))").alias("question"))
+    return docs.select("doc_id", legal.is_bad_question(F.col("question")).alias("bad"), legal.readable_question(F.col("question")).alias("readable"))
+
+
+# ---- lexical search --------------------------------------------------------
+
+
+@query(f"WITH {POSTINGS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df CROSS JOIN tot")
+def bm25_terms(spark, d):
+    index = _index(spark, d)
+    return index.frequencies.crossJoin(F.broadcast(index.totals)).select("term", "df", F.round(bm25.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"WITH {POSTINGS} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM post) AS postings, (SELECT count(*) FROM df) AS terms FROM tot")
+def bm25_totals(spark, d):
+    index = _index(spark, d)
+    return index.totals.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(index.postings.agg(F.count("*").alias("postings"))).crossJoin(index.frequencies.agg(F.count("*").alias("terms")))
+
+
+def _ranked_sql(body: str, k: int) -> str:
+    return f"WITH {POSTINGS}, {body} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(bm25, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id DESC) AS rank FROM bm) WHERE rank <= {k}"
+
+
+@query(_ranked_sql(scores_(), 10))
+def bm25_search(spark, d):
+    return _words(spark, d, 10).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.round("bm25", 6).alias("score"))
+
+
+@query(_ranked_sql(scores_(where="WHERE doc_id % 3 = 0"), 10))
+def bm25_allowed(spark, d):
+    allowed = tables.table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id")
+    found = _steady(bm25.score(_index(spark, d), tables.questions(spark, d), allowed=allowed), "bm25")
+    return bm25.top(found, 10).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.round("bm25", 6).alias("score"))
+
+
+@query(f"WITH {POSTINGS}, {scores_(False)}, every AS (SELECT item_id AS query_id, doc_id FROM benchmark, dl) SELECT query_id, doc_id, round(coalesce(bm25, 0.0), 6) AS score FROM every LEFT JOIN bm USING (query_id, doc_id)")
+def bm25_scan(spark, d):
+    return _steady(bm25.score_all(_index(spark, d), tables.questions(spark, d)), "bm25").select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
+
+
+# ---- dense and hybrid search -----------------------------------------------
+
+
+@query(f"WITH {DENSE} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(dense, 6) AS score FROM near WHERE rank <= 10")
+def dense_search(spark, d):
+    return _near(spark, d, 10).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.round("dense", 6).alias("score"))
+
+
+@query(f"WITH {HYBRID} SELECT query_id, doc_id, round(dense_raw, 6) AS dense_raw, round(bm25_raw, 6) AS bm25_raw FROM pool")
+def candidate_union(spark, d):
+    return hybrid.candidates(_near(spark, d), _words(spark, d)).select("query_id", "doc_id", F.round("dense_raw", 6).alias("dense_raw"), F.round("bm25_raw", 6).alias("bm25_raw"))
+
+
+@query(f"WITH {HYBRID} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(dense, 5) AS dense, round(bm25, 5) AS bm25, round(score, 5) AS score FROM hy")
+def hybrid_search(spark, d):
+    return _hybrid(spark, d).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", *[F.round(c, 5).alias(c) for c in ("dense", "bm25", "score")])
+
+
+_PARENT = """best AS (SELECT *, doc_id // 4 AS parent_id FROM {0}), one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS p FROM best),
+res AS (SELECT query_id, parent_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM one WHERE p = 1)"""
+
+
+@query(f"WITH {HYBRID}, {_PARENT.format('hy')} SELECT query_id, CAST(rank AS INTEGER) AS rank, parent_id, doc_id, round(score, 5) AS score FROM res WHERE rank <= 10")
+def parent_dedupe(spark, d):
+    best = hybrid.best_of_parent(_hybrid(spark, d), tables.parents(spark, d), 10)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "parent_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+_OVERLAP = f"""(SELECT query_id, doc_id, score AS preliminary, CASE WHEN least(len(qs), len(ds)) > 0 THEN len(list_intersect(qs, ds)) / least(len(qs), len(ds)) ELSE 0.0 END AS score FROM
+  (SELECT hy.*, list_distinct({content_('b.text')}) AS qs, list_distinct({content_('t.text')}) AS ds FROM hy JOIN benchmark b ON b.item_id = hy.query_id JOIN documents t ON t.doc_id = hy.doc_id))"""
+
+
+@query(f"WITH {HYBRID}, re AS {_OVERLAP} SELECT query_id, doc_id, round(score, 6) AS score, round(preliminary, 5) AS preliminary, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM re")
+def rerank(spark, d):
+    again = _reranked(spark, d, _hybrid(spark, d))
+    return again.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.round("preliminary", 5).alias("preliminary"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""WITH {HYBRID}, re AS {_OVERLAP},
+fu AS (SELECT query_id, doc_id, 0.35 * CASE WHEN min(score) OVER w = max(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END + 0.65 * preliminary AS score FROM re WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, doc_id, round(score, 5) AS score FROM fu""")
+def rerank_fusion(spark, d):
+    again = hybrid.fuse(_reranked(spark, d, _hybrid(spark, d)))
+    return again.select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+_DICE = "CASE WHEN x = y THEN 1.0 WHEN length(x) < 4 OR length(y) < 4 THEN 0.0 ELSE 2 * len(list_intersect({0}, {1})) / (len(list_distinct({0})) + len(list_distinct({1}))) END".format(grams_("x"), grams_("y"))
+
+
+@query(f"""WITH p AS (SELECT b.item_id, t.doc_id, list_distinct({content_('b.text', 'titles')}) AS q, list_distinct({content_('substr(t.text, 1, 40)', 'titles')}) AS t FROM benchmark b JOIN documents t ON t.doc_id % 40 = b.item_id % 40 WHERE t.text IS NOT NULL),
+c AS (SELECT item_id, doc_id, len(q) AS nq, len(t) AS nt, unnest(q) AS x, t FROM p), e AS (SELECT item_id, doc_id, nq, nt, x, unnest(t) AS y FROM c),
+m AS (SELECT item_id, doc_id, any_value(nq) AS nq, any_value(nt) AS nt, count(DISTINCT x) FILTER (WHERE {_DICE} >= 0.82) AS hq, count(DISTINCT y) FILTER (WHERE {_DICE} >= 0.82) AS ht FROM e GROUP BY item_id, doc_id)
+SELECT p.item_id AS query_id, p.doc_id, round(coalesce(CASE WHEN coalesce(hq, 0) = 0 THEN 0.0 WHEN hq = 1 AND ht = 1 THEN least(0.45, 0.45 * ht / nt) ELSE least(1.0, 0.35 * hq / nq + 0.65 * ht / nt) END, 0.0), 6) AS title_score
+FROM p LEFT JOIN m USING (item_id, doc_id)""")
+def title_relevance(spark, d):
+    a = tables.articles(spark, d).withColumn("k", F.col("doc_id") % 40)
+    rows = tables.questions(spark, d).withColumn("k", F.col("query_id") % 40).join(a, "k")
+    return rows.select("query_id", "doc_id", F.round(tokens.title_relevance(F.col("question"), F.col("article_title")), 6).alias("title_score"))
+
+
+def _title_fusion_rows(spark, d):
+    again = _reranked(spark, d, _hybrid(spark, d).where("rank <= 20")).join(tables.questions(spark, d).select("query_id", "question"), "query_id")
+    return hybrid.fuse_with_title(again, tables.articles(spark, d))
+
+
+@query(f"""WITH {HYBRID.replace("hy AS", "hy0 AS")}, hy AS (SELECT * FROM hy0 WHERE rank <= 20), re AS {_OVERLAP},
+p AS (SELECT query_id, doc_id, list_distinct({content_('b.text', 'titles')}) AS q, list_distinct({content_('substr(t.text, 1, 40)', 'titles')}) AS t FROM hy JOIN benchmark b ON b.item_id = query_id JOIN documents t USING (doc_id)),
+c AS (SELECT query_id, doc_id, len(q) AS nq, len(t) AS nt, unnest(q) AS x, t FROM p), e AS (SELECT query_id, doc_id, nq, nt, x, unnest(t) AS y FROM c),
+m AS (SELECT query_id, doc_id, any_value(nq) AS nq, any_value(nt) AS nt, count(DISTINCT x) FILTER (WHERE {_DICE} >= 0.82) AS hq, count(DISTINCT y) FILTER (WHERE {_DICE} >= 0.82) AS ht FROM e GROUP BY query_id, doc_id),
+ti AS (SELECT p.query_id, p.doc_id, coalesce(CASE WHEN coalesce(hq, 0) = 0 THEN 0.0 WHEN hq = 1 AND ht = 1 THEN least(0.45, 0.45 * ht / nt) ELSE least(1.0, 0.35 * hq / nq + 0.65 * ht / nt) END, 0.0) AS title_score FROM p LEFT JOIN m USING (query_id, doc_id))
+SELECT query_id, doc_id, round(title_score, 6) AS title_score, round(0.55 * CASE WHEN min(score) OVER w = max(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END + 0.10 * preliminary + 0.35 * title_score + CASE WHEN title_score >= 0.75 THEN 0.30 ELSE 0.0 END, 5) AS score
+FROM re JOIN ti USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id)""")
+def title_fusion(spark, d):
+    return _title_fusion_rows(spark, d).select("query_id", "doc_id", F.round("title_score", 6).alias("title_score"), F.round("score", 5).alias("score"))
+
+
+def _hints(spark, d) -> DataFrame:
+    """Questions with a law (a source) and an article number in their wording."""
+    asked = tables.questions(spark, d).select("query_id", F.concat(F.lit("law src"), (F.col("query_id") % 20).cast("string"), F.lit(" madde "), F.col("query_id").cast("string")).alias("question"))
+    names = tables.articles(spark, d).select(text.normalize(F.col("law_name")).alias("name"), "law_no").distinct()
+    return gold.hints(asked, names)
+
+
+_BOOST_SQL = """hints AS (SELECT item_id AS query_id, list(DISTINCT s.source) AS laws, CAST(item_id AS VARCHAR) AS art FROM benchmark b JOIN (SELECT DISTINCT source FROM documents) s ON contains('law src' || (item_id % 20) || ' madde ' || item_id, 'law ' || s.source) GROUP BY item_id),
+bo AS (SELECT hy.query_id, hy.doc_id, hy.rank AS before, hy.score + CASE WHEN lm THEN {law} ELSE 0.0 END + CASE WHEN lm AND am THEN {article} + {exact} WHEN am THEN {article} * 0.5 ELSE 0.0 END AS score FROM
+  (SELECT hy.*, coalesce(list_contains(h.laws, t.source), false) AS lm, coalesce(h.art = CAST(t.doc_id AS VARCHAR), false) AS am FROM hy JOIN documents t USING (doc_id) LEFT JOIN hints h USING (query_id)) hy)"""
+
+
+@query(f"WITH {HYBRID}, {_BOOST_SQL.format(law='0.05', article='0.25', exact='0.5')} SELECT query_id, doc_id, round(score, 5) AS score FROM bo")
+def metadata_boost(spark, d):
+    keys = gold.chunk_keys(tables.articles(spark, d).withColumn("parent_id", F.col("id")))
+    return hybrid.boost(_hybrid(spark, d), _hints(spark, d), keys, *hybrid.PROFILES["default"]).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+# ---- evaluation ------------------------------------------------------------
+
+
+_GOLD = "gold AS (SELECT item_id AS query_id, unnest([item_id // 4, item_id // 4 + 1]) AS parent_id FROM benchmark)"
+_DETAILS = """hits AS (SELECT {k}query_id, min(rank) AS hit_rank, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM {r} SEMI JOIN gold USING (query_id, parent_id) GROUP BY ALL),
+asked AS (SELECT {k}query_id, count(*) AS relevant FROM gold {x} GROUP BY ALL),
+det AS (SELECT {k}query_id, hit_rank, coalesce(dcg, 0.0) / CASE relevant WHEN 1 THEN 1.0 ELSE 1.0 + 1 / log2(3) END AS ndcg FROM asked LEFT JOIN hits USING ({u}query_id))"""
+_SUMMARY = "count(*) AS queries, avg(CASE WHEN hit_rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_at_5, avg(CASE WHEN hit_rank <= 10 THEN 1.0 ELSE 0.0 END) AS recall_at_10, avg(CASE WHEN hit_rank = 1 THEN 1.0 ELSE 0.0 END) AS top1_accuracy, avg(coalesce(1.0 / hit_rank, 0.0)) AS mrr, avg(ndcg) AS ndcg_at_10"
+
+
+@query(f"WITH {HYBRID}, {_PARENT.format('hy')}, {_GOLD}, r10 AS (SELECT * FROM res WHERE rank <= 10), {_DETAILS.format(k='', r='r10', x='', u='')} SELECT query_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(ndcg, 6) AS ndcg FROM det")
+def evaluation_details(spark, d):
+    best = hybrid.best_of_parent(_hybrid(spark, d), tables.parents(spark, d), 10)
+    return metrics.details(best, tables.gold(spark, d)).select("query_id", F.col("hit_rank").cast("int").alias("hit_rank"), F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(f"WITH {HYBRID}, {_PARENT.format('hy')}, {_GOLD}, r10 AS (SELECT * FROM res WHERE rank <= 10), {_DETAILS.format(k='', r='r10', x='', u='')}, s AS (SELECT {_SUMMARY} FROM det) SELECT queries, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10, round(top1_accuracy, 6) AS top1_accuracy, round(mrr, 6) AS mrr, round(ndcg_at_10, 6) AS ndcg_at_10 FROM s")
+def evaluation_summary(spark, d):
+    best = hybrid.best_of_parent(_hybrid(spark, d), tables.parents(spark, d), 10)
+    out = metrics.summarize(metrics.details(best, tables.gold(spark, d)))
+    return out.select("queries", *[F.round(c, 6).alias(c) for c in out.columns if c != "queries"])
+
+
+@query(f"WITH {DENSE}, {_PARENT.format('(SELECT query_id, doc_id, dense AS score, rank FROM near WHERE rank <= 150)')}, {_GOLD}, r10 AS (SELECT * FROM res WHERE rank <= 10), {_DETAILS.format(k='', r='r10', x='', u='')} SELECT query_id, CAST(hit_rank AS INTEGER) AS hit_rank, round(ndcg, 6) AS ndcg FROM det")
+def evaluation_dense(spark, d):
+    best = hybrid.best_of_parent(_near(spark, d).withColumnRenamed("dense", "score"), tables.parents(spark, d), 10)
+    return metrics.details(best, tables.gold(spark, d)).select("query_id", F.col("hit_rank").cast("int").alias("hit_rank"), F.round("ndcg", 6).alias("ndcg"))
+
+
+_GRID = {"alpha": (0.4, 0.7), "dense_candidates": (20, 80), "bm25_candidates": (30, 100), "preliminary": (20, 50), "profile": ("none", "default", "strong")}
+_GRID_SQL = f"""grid AS (SELECT a.alpha, n.dense_candidates, w.bm25_candidates, p.preliminary, f.profile, f.law, f.article, f.exact FROM (VALUES (0.4::DOUBLE), (0.7::DOUBLE)) a(alpha), (VALUES (20), (80)) n(dense_candidates), (VALUES (30), (100)) w(bm25_candidates), (VALUES (20), (50)) p(preliminary),
+  (VALUES ('none', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('default', 0.05, 0.25, 0.5), ('strong', 0.1, 0.4, 0.8)) f(profile, law, article, exact)),
+cfg AS (SELECT alpha || '|' || dense_candidates || '|' || bm25_candidates || '|' || preliminary || '|' || profile AS config, * FROM grid),
+gp AS (SELECT config, query_id, doc_id, coalesce(max(dense), 0.0) AS dense_raw, coalesce(max(bm25), 0.0) AS bm25_raw FROM (
+  SELECT config, query_id, doc_id, dense, NULL AS bm25 FROM near JOIN cfg ON rank <= dense_candidates UNION ALL SELECT config, query_id, doc_id, NULL, bm25 FROM bmr JOIN cfg ON rank <= bm25_candidates) GROUP BY ALL),
+gc AS (SELECT * FROM gp JOIN cfg USING (config)),
+gh AS {blend_('gc', 'config, query_id', 'alpha', 'preliminary')},
+hints AS (SELECT item_id AS query_id, list(DISTINCT s.source) AS laws, CAST(item_id AS VARCHAR) AS art FROM benchmark b JOIN (SELECT DISTINCT source FROM documents) s ON contains('law src' || (item_id % 20) || ' madde ' || item_id, 'law ' || s.source) GROUP BY item_id),
+gb AS (SELECT *, score + CASE WHEN lm THEN law ELSE 0.0 END + CASE WHEN lm AND am THEN article + exact WHEN am THEN article * 0.5 ELSE 0.0 END AS total FROM
+  (SELECT gh.*, coalesce(list_contains(h.laws, t.source), false) AS lm, coalesce(h.art = CAST(t.doc_id AS VARCHAR), false) AS am FROM gh JOIN documents t USING (doc_id) LEFT JOIN hints h USING (query_id))),
+gr AS (SELECT *, doc_id // 4 AS parent_id, row_number() OVER (PARTITION BY config, query_id ORDER BY round(total, 9) DESC, doc_id) AS r1 FROM gb),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY config, query_id, parent_id ORDER BY r1) AS p FROM gr),
+g2 AS (SELECT config, query_id, parent_id, row_number() OVER (PARTITION BY config, query_id ORDER BY r1) AS rank FROM g1 WHERE p = 1),
+g10 AS (SELECT * FROM g2 WHERE rank <= 10)"""
+
+
+@query(f"""WITH {HYBRID}, {_GRID_SQL}, {_GOLD}, {_DETAILS.format(k='config, ', r='g10', x=', cfg', u='config, ')}, s AS (SELECT config, {_SUMMARY} FROM det GROUP BY config)
+SELECT alpha, CAST(dense_candidates AS INTEGER) AS dense_candidates, CAST(bm25_candidates AS INTEGER) AS bm25_candidates, CAST(preliminary AS INTEGER) AS preliminary, profile, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10, round(top1_accuracy, 6) AS top1_accuracy, round(mrr, 6) AS mrr, round(ndcg_at_10, 6) AS ndcg_at_10,
+  round(0.45 * recall_at_5 + 0.25 * recall_at_10 + 0.20 * mrr + 0.10 * ndcg_at_10, 6) AS selection_score FROM s JOIN cfg USING (config)""")
+def grid_search(spark, d):
+    keys = gold.chunk_keys(tables.articles(spark, d).withColumn("parent_id", F.col("id")))
+    found = evaluation.grid_search(_near(spark, d, 80), _words(spark, d, 100), tables.parents(spark, d), tables.gold(spark, d), evaluation.grid_table(spark, _GRID), _hints(spark, d), keys)
+    scores = ("recall_at_5", "recall_at_10", "top1_accuracy", "mrr", "ndcg_at_10", "selection_score")
+    return found.select("alpha", "dense_candidates", "bm25_candidates", "preliminary", "profile", *[F.round(c, 6).alias(c) for c in scores])
+
+
+def _answers(spark, d) -> DataFrame:
+    """Turns of conversations against the turn before, as answers and references."""
+    talk = tables.table(spark, d, "conversations")
+    before = talk.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("expected_answer"))
+    return talk.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.col("role").alias("model"), F.substring("text", 1, 300).alias("generated_answer"), F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.substring("expected_answer", 1, 200)).alias("expected_answer"))
+
+
+_ANSWERS = "ans AS (SELECT a.conv_id, a.turn, a.role AS model, substr(a.text, 1, 300) AS p, CASE WHEN a.turn % 5 = 0 THEN '' ELSE substr(b.text, 1, 200) END AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
+_F1 = f"""cnt AS (SELECT conv_id, turn, sum(least(x.c, y.c)) AS shared FROM (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, unnest({words_('p')}) AS w FROM ans) GROUP BY ALL) x
+  JOIN (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, unnest({words_('r')}) AS w FROM ans) GROUP BY ALL) y USING (conv_id, turn, w) GROUP BY ALL),
+am AS (SELECT conv_id, turn, model, CASE WHEN trim(r) <> '' THEN CASE WHEN {words_('p')} = {words_('r')} THEN 1.0 ELSE 0.0 END END AS em,
+  CASE WHEN trim(r) <> '' THEN CASE WHEN len({words_('p')}) = 0 OR len({words_('r')}) = 0 THEN CASE WHEN len({words_('p')}) = len({words_('r')}) THEN 1.0 ELSE 0.0 END
+    WHEN coalesce(shared, 0) = 0 THEN 0.0 ELSE 2 * shared / (len({words_('p')}) + len({words_('r')})) END END AS f1 FROM ans LEFT JOIN cnt USING (conv_id, turn))"""
+
+
+@query(f"WITH {_ANSWERS}, {_F1} SELECT conv_id, turn, em, round(f1, 6) AS f1 FROM am")
+def answer_overlap(spark, d):
+    p, r = F.col("generated_answer"), F.col("expected_answer")
+    known = F.trim(r) != ""
+    return _answers(spark, d).select("conv_id", "turn", F.when(known, metrics.exact_match(p, r)).alias("em"), F.round(F.when(known, metrics.token_f1(p, r)), 6).alias("f1"))
+
+
+@query(f"WITH {_ANSWERS}, {_F1} SELECT model, count(*) AS questions, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1 FROM am GROUP BY model")
+def answer_summary(spark, d):
+    rows = answer_overlap(spark, d).join(_answers(spark, d).select("conv_id", "turn", "model"), ["conv_id", "turn"])
+    return rows.groupBy("model").agg(F.count("*").alias("questions"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("f1"), 6).alias("f1"))
+
+
+@query()
+def rouge_l(spark, d):
+    """No SQL: the dynamic program is tested against a plain one."""
+    return _answers(spark, d).select("conv_id", "turn", F.round(metrics.rouge_l(F.col("generated_answer"), F.col("expected_answer")), 6).alias("rouge_l"))
+
+
+@query("WITH g AS (SELECT item_id, [CAST(item_id + i AS VARCHAR) for i in range(0, 8)] AS ids, CASE WHEN item_id % 3 = 0 THEN [] ELSE [CAST(item_id + item_id % 11 AS VARCHAR)] END AS gold FROM benchmark) SELECT item_id AS query_id, CASE WHEN len(gold) > 0 THEN CASE WHEN list_position(ids, gold[1]) IS NULL THEN 0.0 ELSE 1.0 END END AS retrieval_hit, round(CASE WHEN len(gold) > 0 THEN coalesce(1.0 / list_position(ids, gold[1]), 0.0) END, 6) AS reciprocal_rank FROM g")
+def reciprocal_ranks(spark, d):
+    i = F.col("item_id")
+    rows = tables.table(spark, d, "benchmark").select(i.alias("query_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n: (i + n).cast("string")).alias("retrieved_ids"), F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.array((i + i % 11).cast("string"))).alias("gold_document_ids"))
+    return metrics.retrieval_metrics(rows).select("query_id", "retrieval_hit", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+# ---- chunks ----------------------------------------------------------------
+
+
+@query(f"""WITH {ARTICLES}, w AS (SELECT *, {split_('text')} AS words FROM a), s AS (SELECT *, CASE WHEN len(words) <= 450 THEN 1 ELSE CAST(ceil((len(words) - 450) / 386.0) AS INTEGER) + 1 END AS n FROM w WHERE len(words) > 0),
+k AS (SELECT *, unnest(range(0, n)) AS i FROM s)
+SELECT id || '_chunk_' || lpad(CAST(i + 1 AS VARCHAR), 3, '0') AS id, id AS parent_id, CAST(i AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS chunk_count, n = 1 AS is_full_article, CAST(len(words) AS INTEGER) AS parent_word_count,
+  CAST(len(words[i * 386 + 1 : i * 386 + 450]) AS INTEGER) AS chunk_word_count, CAST(CASE WHEN n > 1 THEN 64 ELSE 0 END AS INTEGER) AS overlap_word_count,
+  md5(trim(law_name || ' (' || law_no || ') - ' || article_no || CASE WHEN trim(article_title) <> '' THEN ' - ' || trim(article_title) ELSE '' END || chr(10) || array_to_string(words[i * 386 + 1 : i * 386 + 450], ' '))) AS text FROM k""")
+def sliding_chunks(spark, d):
+    chunks = chunking.sliding_chunks(tables.articles(spark, d))
+    return chunks.select("id", "parent_id", "chunk_index", "chunk_count", "is_full_article", "parent_word_count", "chunk_word_count", "overlap_word_count", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query()
+def structured_chunks(spark, d):
+    """No SQL: greedy packing is tested against hand-made texts."""
+    return chunking.structured_chunks(tables.articles(spark, d)).drop("text")
+
+
+@query(f"""WITH {ARTICLES} SELECT id, unnest(list_concat([law_name || ' kapsamında ' || t || ' nedir?'], [law_name || ' kapsamında ' || t || ' nasıl düzenlenir?', t || ' nedir?'])) AS question
+FROM (SELECT id, trim(law_name) AS law_name, trim(trim(article_title), ':;-') AS t FROM a) WHERE t <> ''""")
+def synthetic_questions(spark, d):
+    made = legal.synthetic_questions(F.col("law_name"), F.col("law_no"), F.col("article_title"), 3)
+    return tables.articles(spark, d).select("id", F.explode(made).alias("question"))
+
+
+@query(f"""WITH {HYBRID}, {_PARENT.format('hy')}, b AS (SELECT query_id, rank, '[Kaynak ' || rank || ']' || chr(10) || 'Doc ID: ' || parent_id || chr(10) || 'Metin: ' || substr(replace(trim(text), chr(10) || chr(10) || chr(10), chr(10) || chr(10)), 1, 1800) AS block FROM res JOIN documents USING (doc_id) WHERE rank <= 5)
+SELECT query_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY rank)) AS sources FROM b GROUP BY query_id""")
+def prompt_sources(spark, d):
+    best = hybrid.best_of_parent(_hybrid(spark, d), tables.parents(spark, d), 5).join(tables.articles(spark, d).select("doc_id", F.col("text")), "doc_id")
+    body = F.left(F.replace(F.trim("text"), F.lit("\n\n\n"), F.lit("\n\n")), F.lit(1800))
+    block = F.concat_ws("\n", F.format_string("[Kaynak %d]", "rank"), F.concat(F.lit("Doc ID: "), F.col("parent_id").cast("string")), F.concat(F.lit("Metin: "), body))
+    joined = best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda s: s["block"]), "\n\n").alias("sources"))
+    return joined.select("query_id", F.md5(F.col("sources").cast("binary")).alias("sources"))
+
+
+# ---- training pairs --------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT conv_id, turn, lower(role) AS role, trim(text) AS t FROM conversations WHERE trim(text) <> ''),
+q AS (SELECT conv_id, min_by(t, turn) AS question, min(turn) AS asked FROM s WHERE role IN ('user', 'human') GROUP BY conv_id),
+a AS (SELECT conv_id, min_by(t, s.turn) AS answer FROM s JOIN q USING (conv_id) WHERE role IN ('assistant', 'gpt', 'bot') AND s.turn > asked GROUP BY conv_id)
+SELECT conv_id, question, coalesce(answer, '') AS answer FROM q LEFT JOIN a USING (conv_id)""")
+def chat_pairs(spark, d):
+    return pairs.chat_question_answer(tables.table(spark, d, "conversations"))
+
+
+_SETS = f"""l AS (SELECT item_id AS left_id, list_distinct({content_('text')}) AS x FROM benchmark), r AS (SELECT doc_id, list_distinct({content_('text')}) AS y FROM documents WHERE text IS NOT NULL),
+ov AS (SELECT left_id, doc_id, len(list_intersect(x, y)) / least(len(x), len(y)) AS overlap FROM l, r WHERE least(len(x), len(y)) > 0)"""
+
+
+@query(f"WITH {_SETS} SELECT left_id, doc_id, round(overlap, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY overlap DESC, doc_id) AS p FROM ov WHERE overlap >= 0.3) WHERE p <= 8")
+def containment_match(spark, d):
+    left = tables.questions(spark, d).select(F.col("query_id").alias("left_id"), F.lit(1).alias("all"), tokens.content_set(F.col("question")).alias("tokens"))
+    right = tables.articles(spark, d).select("doc_id", F.lit(1).alias("all"), tokens.content_set(F.col("text")).alias("doc_tokens"))
+    return pairs.best_match(left, right, "all", 0.3, 8).select("left_id", "doc_id", F.round("overlap", 6).alias("overlap"))
+
+
+@query(f"""WITH {HYBRID}, cand AS (SELECT query_id, doc_id, rank, doc_id // 4 AS parent_id FROM hy),
+safe AS (SELECT c.* FROM cand c JOIN benchmark b ON b.item_id = query_id JOIN documents t USING (doc_id) WHERE parent_id <> query_id // 4
+  AND coalesce(len(list_intersect(list_distinct({content_('b.text')}), list_distinct({content_('t.text')}))) / nullif(least(len(list_distinct({content_('b.text')})), len(list_distinct({content_('t.text')}))), 0), 0.0) < 0.55),
+one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS p FROM safe)
+SELECT query_id, doc_id, parent_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM one WHERE p = 1) WHERE k <= 3""")
+def hard_negatives(spark, d):
+    chunks = tables.articles(spark, d).select("doc_id", F.floor(F.col("doc_id") / 4).cast("long").alias("parent_id"), tokens.content_set(F.col("text")).alias("doc_tokens"))
+    asked = tables.questions(spark, d)
+    protected = asked.select("query_id", F.floor(F.col("query_id") / 4).cast("long").alias("parent_id"))
+    positives = asked.select("query_id", tokens.content_set(F.col("question")).alias("tokens"))
+    return pairs.hard_negatives(_hybrid(spark, d).select("query_id", "doc_id", "rank"), chunks, protected, positives).select("query_id", "doc_id", "parent_id")
+
+
+def _labelled(spark, d) -> DataFrame:
+    docs = tables.table(spark, d, "documents").where("text is not null")
+    return docs.select(F.col("source").alias("query_id"), F.col("source").alias("query"), F.substring("text", 1, 60).alias("passage"), (F.col("doc_id") % 3 == 0).cast("int").alias("label"), F.col("doc_id").alias("position"))
+
+
+_LABELLED = "lab AS (SELECT source AS query_id, source AS query, substr(text, 1, 60) AS passage, CAST(doc_id % 3 = 0 AS INTEGER) AS label, doc_id AS position FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH {_LABELLED}, p AS (SELECT query_id, passage, row_number() OVER (PARTITION BY query_id ORDER BY position) AS i FROM lab WHERE label = 1), n AS (SELECT query_id, passage, row_number() OVER (PARTITION BY query_id ORDER BY position) AS j FROM lab WHERE label = 0)
+SELECT query_id, 'query: ' || query_id AS query, 'passage: ' || p.passage AS positive, 'passage: ' || n.passage AS negative FROM p JOIN n USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i, j) <= 5""")
+def triplets(spark, d):
+    return pairs.triplets(_labelled(spark, d), 5).select("query_id", "query", "positive", "negative")
+
+
+@query(f"WITH {_LABELLED} SELECT query, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives, md5(string_agg(passage, '|' ORDER BY position) FILTER (WHERE label = 1)) AS positive FROM lab GROUP BY query HAVING positives > 0 AND negatives > 0")
+def eval_samples(spark, d):
+    found = pairs.eval_samples(_labelled(spark, d))
+    return found.select("query", F.size("positive").cast("long").alias("positives"), F.size("negative").cast("long").alias("negatives"), F.md5(F.array_join("positive", "|").cast("binary")).alias("positive"))
+
+
+@query("""WITH g AS (SELECT conv_id, row_number() OVER (ORDER BY md5('493|' || conv_id), conv_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT c.conv_id, turn, CASE WHEN k <= greatest(1, CAST(floor(n * 0.1) AS BIGINT)) THEN 'dev' ELSE 'train' END AS split FROM conversations c JOIN g USING (conv_id)""")
+def group_split(spark, d):
+    return pairs.split_by_group(tables.table(spark, d, "conversations"), "conv_id").select("conv_id", "turn", "split")
+
+
+@query("""WITH r AS (SELECT substr(text, 1, 50) || '#' || doc_id AS question, source AS law_no, source || '_' || (doc_id % 7) AS positive_parent_id, CAST(doc_id % 3 AS INTEGER) AS priority, CAST(doc_id % 11 AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY positive_parent_id ORDER BY priority, score DESC, md5('493|' || question), question) AS p FROM r),
+l AS (SELECT *, row_number() OVER (PARTITION BY law_no ORDER BY priority, score DESC, md5('493|' || question), question) AS k FROM o WHERE p <= 2)
+SELECT question, law_no, positive_parent_id FROM l WHERE k <= 9 ORDER BY priority, score DESC, md5('493|' || question), question LIMIT 100""")
+def balanced_selection(spark, d):
+    docs = tables.table(spark, d, "documents").where("text is not null")
+    rows = docs.select(F.concat(F.substring("text", 1, 50), F.lit("#"), F.col("doc_id").cast("string")).alias("question"), F.col("source").alias("law_no"), F.concat_ws("_", "source", (F.col("doc_id") % 7).cast("string")).alias("positive_parent_id"), (F.col("doc_id") % 3).cast("int").alias("priority"), (F.col("doc_id") % 11).cast("double").alias("score"))
+    return pairs.balanced(rows, 100, 9, 2).select("question", "law_no", "positive_parent_id")
+
+
+@query(f"""WITH x AS (SELECT doc_id, substr(text, 1, 30) AS question FROM documents WHERE length(text) >= 18),
+t AS (SELECT doc_id, CASE WHEN ends_with(trim(regexp_replace(question, '\\s+', ' ', 'g')), '?') THEN trim(regexp_replace(question, '\\s+', ' ', 'g')) ELSE trim(regexp_replace(question, '\\s+', ' ', 'g')) || '?' END AS question FROM x)
+SELECT doc_id, question FROM t WHERE length(question) >= 18 QUALIFY row_number() OVER (PARTITION BY {n_('question')} ORDER BY doc_id) = 1""")
+def distinct_questions(spark, d):
+    docs = tables.table(spark, d, "documents").where("length(text) >= 18").select("doc_id", F.substring("text", 1, 30).alias("question"))
+    return pairs.usable_questions(docs, ["doc_id"]).select("doc_id", "question")
+
+
+@query("SELECT source, CAST(quality AS VARCHAR) AS status, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def status_counters(spark, d):
+    rows = tables.table(spark, d, "documents").join(tables.table(spark, d, "labels"), "doc_id")
+    return rows.groupBy("source", F.col("quality").cast("string").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, source || CASE WHEN k > 1 THEN ':repeat' ELSE '' END AS source FROM documents, range(1, 4) r(k)")
+def positive_repeat(spark, d):
+    return pairs.repeated(tables.table(spark, d, "documents").select("doc_id", "source"), 3)
+
+
+# ---- gold ------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT unnest(['the', 'thea', 'theann', 'sh', 'oner', 'la', 'der']) AS name, unnest(['1', '2', '3', '4', '5', '6', '7']) AS law_no),
+h AS (SELECT d.doc_id, max_by(w.law_no, struct_pack(n := length(w.name), m := w.name)) AS law_no FROM documents d JOIN w ON contains(strip_accents(lower(substr(d.text, 1, 120))), w.name) GROUP BY d.doc_id)
+SELECT doc_id, law_no FROM h""")
+def law_inference(spark, d):
+    names = spark.createDataFrame([(n, str(i + 1)) for i, n in enumerate(("the", "thea", "theann", "sh", "oner", "la", "der"))], "name string, law_no string")
+    docs = tables.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("context"))
+    return gold.infer_law(docs, names, ["context"], "doc_id")
+
+
+@query(f"""WITH {ARTICLES} SELECT b.item_id AS query_id, list_sort(list(DISTINCT a.id)) AS gold_ids FROM benchmark b JOIN a ON a.law_no = 'src' || (b.item_id % 20) AND a.doc_id = b.item_id GROUP BY b.item_id""")
+def gold_resolution(spark, d):
+    asked = tables.questions(spark, d).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("law_no"), F.concat(F.lit("Ek Madde "), F.col("query_id").cast("string")).alias("article_no"))
+    return gold.resolve(asked, gold.article_lookup(tables.articles(spark, d)), ["query_id"])
