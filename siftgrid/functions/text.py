@@ -50,14 +50,15 @@ def _folding() -> tuple[str, str, str, dict[str, str]]:
 def normalize(text: Column) -> Column:
     """The accent-free, case-free form of a text (null stays null)."""
     source, target, gone, longer = _folding()
-    ascii_only = F.lower(text)
-    plain = F.translate(text, source + gone, target)
+    # Lower case first: lower() turns a dotted capital I into i and a combining
+    # dot, which goes as all marks do; capitals that come out of symbols stay.
+    small = F.lower(text)
+    plain = F.translate(small, source + gone, target)
     rare = plain
     for c, to in longer.items():
         rare = F.replace(rare, F.lit(c), F.lit(to))
     plain = F.when(plain.rlike("[" + "".join(longer) + "]"), rare).otherwise(plain)
-    # lower() turns a dotted capital I into i and a combining dot, which goes as all marks do.
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.lower(plain), r"\p{Mn}+", "")).otherwise(ascii_only)
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(plain, r"\p{Mn}+", "")).otherwise(small)
 
 
 def normalize_exact(text: Column) -> Column:
