@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -148,11 +149,23 @@ def _trim() -> None:
         pass  # another C library: nothing to do
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes at most (views, no copies)."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(size, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(at, step)
+
+
 def lean(function: Callable) -> Callable:
-    """The same function of batches, which trims its worker's memory at the end of a task."""
+    """The same function of batches with a small footprint.
+
+    It gets its input, and so gives its output, in small slices, and trims its
+    worker's memory at the end of a task.
+    """
 
     def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from function(batches)
+        yield from function(slices(batches))
         _trim()
 
     return over_batches

@@ -1,0 +1,616 @@
+"""Training-data operators against brute force, reference libraries and held-out labels."""
+
+import hashlib
+import json
+import math
+import os
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from siftgrid.llm import bpe, chat, common, decontaminate, neardup, pii, quality, queries, substrings, token_counts, topk, toxicity
+
+DATA = "/root/testdata/sf0.001"
+has_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="standard tables are not here")
+DOCS = "doc_id long, text string"
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def words(rnd, n):
+    return " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 7))) for _ in range(n))
+
+
+def plain_words(text):
+    lowered = (text or "").translate({i: i + 32 for i in range(65, 91)})
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+
+def strange(spark):
+    """Nulls, empty and odd texts, repeated rows, and columns whose names clash."""
+    long = "x1 " * 40_000
+    rows = [(1, None, "a", 1), (2, "", "b", 2), (None, "lost id text of some words here", "c", 3), (3, "Ä\x00ß 𝔘 \n\n", "d", 4), (4, long, "e", 5), (4, long, "e", 5), (5, "y" * 120_000, "f", 6)]
+    return spark.createDataFrame(rows, "doc_id long, text string, spans string, n_words int")
+
+
+# ---- words -----------------------------------------------------------------
+
+
+def test_word_spans_equal_pattern():
+    rnd = random.Random(1)
+    for _ in range(200):
+        texts = ["".join(rnd.choice("aB9 é-_𝔘\n") for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(1, 5))]
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        offsets = np.cumsum([0, *map(len, raw)])
+        starts, ends, row = common.word_spans(data, offsets)
+        low = common.LOWER[data].tobytes()
+        assert [(r, low[a:b].decode()) for r, a, b in zip(row, starts, ends)] == [(i, w) for i, t in enumerate(texts) for w in plain_words(t)]
+
+
+def test_span_hash_is_by_content():
+    data = np.frombuffer(b"abcabcxabc", np.uint8)
+    h = common.span_hash(common.prefix_hash(data), np.array([0, 3, 7, 1]), np.array([3, 6, 10, 4]))
+    assert h[0] == h[1] == h[2] != h[3]
+
+
+# ---- 1 near duplicates -----------------------------------------------------
+
+
+def near_copies(rnd):
+    rows = []
+    for base in range(25):
+        w = words(rnd, rnd.randint(60, 160)).split()
+        rows.append((base * 10, " ".join(w)))
+        for c in range(rnd.randint(0, 4)):
+            v = list(w)
+            for _ in range(rnd.randint(0, 4)):
+                v[rnd.randrange(len(v))] = "changed%d" % rnd.randrange(10**6)
+            rows.append((base * 10 + c + 1, " ".join(v)))
+    rows += [(1000, "four words are here"), (1001, "Four words ARE here!"), (1002, None), (1003, ""), (1004, rows[3][1])]
+    return rows
+
+
+def brute_classes(rows):
+    """Classes by exact weighted Jaccard similarity of all pairs."""
+
+    def counted(text):
+        w = plain_words(text)
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+    counts = {i: counted(t) for i, t in rows}
+    df = Counter(g for c in counts.values() for g in c)
+    n = len(rows) + 1
+    sets = {i: {g: k * (1 + math.log(n / (df[g] + 1)) / math.log(n)) for g, k in c.items()} for i, c in counts.items()}
+
+    def alike(x, y):
+        both = sum(min(v, y[g]) for g, v in x.items() if g in y)
+        return both >= 0.8 * (sum(x.values()) + sum(y.values()) - both) > 0
+
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, t) in enumerate(rows):
+        for j, u in rows[:a]:
+            if (t or "") == (u or "") or alike(sets[i], sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i, _ in rows}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rows = near_copies(random.Random(8))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_residual_pairs_find_what_the_least_node_misses(spark):
+    rows = list({t: (i, t) for i, t in reversed(near_copies(random.Random(9))) if t and i < 1000}.values())
+    docs = common.id_and_text(frame(spark, rows))
+    idf = spark.sparkContext.broadcast(neardup.idf_table(neardup.document_frequencies(docs), len(rows)))
+    bodies = neardup.signatures(docs, idf).groupBy("body").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys"))
+    members = common.checkpoint(bodies.select("node", F.explode("keys").alias("key")).distinct())
+    none = spark.createDataFrame([], "node long, label long")
+    old, neardup.BLOCK_NODES = neardup.BLOCK_NODES, 2
+    try:
+        links = neardup.link_across(docs, members, none, idf)
+        labels = {r["node"]: r["label"] for r in neardup.components(links).collect()}
+    finally:
+        neardup.BLOCK_NODES = old
+    assert {i: labels.get(i, i) for i, _ in rows} == brute_classes(sorted(rows))
+
+
+def test_components_of_a_long_chain(spark):
+    links = frame(spark, [(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
+    labels = {r["node"]: r["label"] for r in neardup.components(links).collect()}
+    assert set(labels.values()) == {0, 500} and len(labels) == 203
+
+
+def test_samples_agree_as_often_as_texts_are_alike():
+    rnd = np.random.default_rng(3)
+    h = np.sort(rnd.integers(0, 1 << 63, 300).astype(np.uint64))
+    agree = []
+    for shared in (200, 260):
+        a, b = h[:shared + 20], np.concatenate([h[:shared], h[-20:]])
+        wa, wb = np.ones(len(a), np.float32) * 2, np.ones(len(b), np.float32) * 2
+        one, two = neardup.samples(a, wa, np.array([0])), neardup.samples(np.sort(b), wb, np.array([0]))
+        agree.append(((one == two).mean(), shared / (shared + 40)))
+    assert all(abs(x - y) < 0.2 for x, y in agree)
+
+
+def test_near_duplicates_of_strange_rows(spark):
+    got = neardup.near_duplicates(strange(spark)).collect()
+    assert len(got) == 7
+    kept = neardup.without_near_duplicates(strange(spark))
+    assert kept.columns == ["doc_id", "text", "spans", "n_words"]
+    # The null text equals the empty one; of the repeated rows one stays; the null id stays.
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "None"]
+    assert neardup.near_duplicates(frame(spark, [])).count() == 0
+
+
+# ---- 2 token counts --------------------------------------------------------
+
+
+def test_token_counts_equal_per_token_loop(spark):
+    ranks = bpe.load_ranks(token_counts.VOCABULARY)
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    back = {r: b for b, r in ranks.items()}
+    rnd = random.Random(5)
+    rows = [(i, "".join(rnd.choice(["ab", "é", "𝔘", " ", "\n", ".", "Wort"]) for _ in range(rnd.randint(0, 60)))) for i in range(40)]
+    got = {}
+    for r in token_counts.count_tokens(frame(spark, rows)).collect():
+        got[r["doc_id"], r["section"]] = (r["char_start"], r["char_end"], r["n_tokens"])
+    for i, t in rows:
+        bounds, at = [], 0
+        for line in t.splitlines(keepends=True) if "\n" in t else [t]:
+            bounds.append((at, at + len(line)))
+            at += len(line)
+        counts, pos = Counter(), 0
+        char_of = [k for k, c in enumerate(t) for _ in c.encode()]
+        for token in encoding.encode_ordinary(t):
+            first = char_of[pos]
+            counts[next(k for k, (a, b) in enumerate(bounds) if a <= first < b)] += 1
+            pos += len(back[token])
+        for k, (a, b) in enumerate(bounds or [(0, 0)]):
+            assert got[i, k] == (a, b, counts[k])
+
+
+def test_boundary_rules(spark):
+    docs = frame(spark, [(1, "Hello wörld foo"), (2, None)])
+    secs = frame(spark, [(1, 0, 0, 7), (1, 1, 7, 15), (9, 0, 0, 3)], "doc_id long, section long, char_start long, char_end long")
+    out = {rule: {(r["doc_id"], r["section"]): (r["n_tokens"], r["n_crossing"]) for r in token_counts.count_tokens(docs, secs, rule).collect()} for rule in token_counts.RULES}
+    total = {rule: sum(n for n, _ in v.values()) for rule, v in out.items()}
+    assert len(set(total.values())) == 1 and out["start"][1, 0] >= out["end"][1, 0]
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(docs, rule="other")
+    assert token_counts.count_tokens(strange(spark)).where("doc_id is null").count() == 1
+
+
+# ---- 3 decontamination -----------------------------------------------------
+
+
+def brute_match(text, items, window):
+    w = plain_words(text)
+    hit, owners = set(), set()
+    for key, item in items:
+        iw = plain_words(item)
+        size = min(window, len(iw))
+        for a in range(len(iw) - size + 1) if iw else ():
+            for p in range(len(w) - size + 1):
+                if w[p : p + size] == iw[a : a + size]:
+                    hit.update(range(p, p + size))
+                    owners.add(str(key))
+    return len(w), len(hit), sorted(owners)
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    rnd = random.Random(2)
+    pool = ["a", "b", "c", "dd", "É"]
+    say = lambda n: " ".join(rnd.choice(pool) for _ in range(n))
+    items = [(i, say(rnd.choice((2, 3, 5, 9, 14)))) for i in range(6)] + [(6, None), (7, ""), (None, "a a a"), (3, say(6))]
+    docs = [(i, say(rnd.randint(0, 25)) + (" " + items[i % 6][1] if i % 4 == 0 else "")) for i in range(40)] + [(99, None)]
+    known = [(k, t) for k, t in items if k is not None]
+    item_frame = frame(spark, items, "item_id long, text string")
+    for words_per_shard in (100_000, 10):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words_per_shard)
+        got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.match_items(frame(spark, docs), item_frame, window=5)).collect()}
+        for i, t in docs:
+            n, hit, owners = brute_match(t, known, 5)
+            r = got[i]
+            assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, hit, len(owners))
+            assert r["items_sha256"] == hashlib.sha256(",".join(owners).encode()).hexdigest()
+
+
+def test_decontaminated_texts(spark):
+    item = "one two three four five six seven eight nine"
+    docs = frame(spark, [(1, f"Start here. {item.upper()}, and go on with more words here"), (2, "clean text"), (3, item), (4, None)])
+    out = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, frame(spark, [(1, item)], "item_id long, text string")).collect()}
+    assert out == {1: "Start here. , and go on with more words here", 2: "clean text", 4: None}
+    kept = decontaminate.decontaminate(strange(spark), frame(spark, [], "item_id long, text string"))
+    assert kept.count() == 7 and kept.columns == ["doc_id", "text", "spans", "n_words"]
+
+
+# ---- 4 search --------------------------------------------------------------
+
+
+def test_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(topk, "LEAF", 8)
+    rnd = np.random.default_rng(6)
+    centres = rnd.normal(size=(5, 6))
+    rows = [(i, [float(x) for x in centres[i % 5] + rnd.normal(size=6) * 0.05]) for i in range(300)]
+    rows += [(300 + i, rows[0][1]) for i in range(40)]
+    rows += [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, [1.0])]
+    v = frame(spark, rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.search(v, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    good = {i: np.floor(1024 * np.array(e)) for i, e in rows if e and None not in e and np.isfinite(e).all() and len(e) == 6}
+    assert set(got) == {i for i in good if i % 20 == 0}
+    for q in got:
+        want = sorted(((-int(good[q] @ p), i) for i, p in good.items() if i != q))[:10]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
+def test_tree_prunes_clustered_points():
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(40, 8)) * 1000
+    points = np.concatenate([c + rnd.normal(size=(64, 8)) for c in centres])
+    ids = np.arange(len(points))
+    tree, asks = topk.cover_tree(points), points[:64]
+    best = topk.Best(np.full(64, -1), 5)
+    pairs = topk.dual_search(asks, topk.cover_tree(asks), points, ids, tree, best)
+    leaves = lambda n: sum(map(leaves, n.children)) if n.children else 1
+    assert pairs < leaves(tree) / 2
+
+
+def test_search_with_few_or_no_rows(spark):
+    kind = "vec_id long, embedding array<double>"
+    assert topk.search(frame(spark, [], kind), F.col("vec_id") == 0).count() == 0
+    assert topk.search(frame(spark, [(0, [1.0]), (1, [2.0])], kind), F.col("vec_id") == 0).count() == 1
+
+
+# ---- 5 chat ----------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def talks(spark):
+    rnd = random.Random(4)
+    rows = []
+    for c in range(60):
+        roles = (["system"] if c % 3 == 0 else []) + ["user", "assistant"] * rnd.randint(1, 4)
+        rows += [(c, t, role, "\n".join(words(rnd, 4 if role == "user" else 14) for _ in range(1 if role == "user" else 3))) for t, role in enumerate(roles)]
+    return frame(spark, rows, "conv_id long, turn long, role string, text string")
+
+
+def test_roles_are_recovered(spark, talks):
+    model = chat.fit(talks)
+    found = chat.parse(chat.as_transcripts(talks), model)
+    right = talks.join(found.select("conv_id", "turn", F.col("role").alias("found"), F.col("text").alias("got")), ["conv_id", "turn"]).where("role = found and text = got").count()
+    assert right > 0.97 * talks.count()
+
+
+def test_blocks_give_the_same_path(spark, talks):
+    model, raw = chat.fit(talks), chat.as_transcripts(talks)
+    whole = [(r["conv_id"], r["role"], r["text"]) for r in chat.parse(raw, model).orderBy("conv_id", "block", "turn").collect()]
+    parts, out = chat.parse(raw, model, block_rows=2).orderBy("conv_id", "block", "turn").collect(), []
+    for r in parts:
+        if r["continued"]:
+            c, role, t = out[-1]
+            assert (c, role) == (r["conv_id"], r["role"])
+            out[-1] = (c, role, t + "\n" + r["text"])
+        else:
+            out.append((r["conv_id"], r["role"], r["text"]))
+    assert out == whole
+
+
+def test_viterbi_is_the_best_path():
+    rnd = np.random.default_rng(2)
+    model = chat.Model(rnd.normal(size=6), rnd.normal(size=(6, 6)), None)
+    seen = rnd.normal(size=(4, 6))
+    score = lambda p: model.start[p[0]] + seen[0, p[0]] + sum(model.move[a, b] + seen[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))
+    every = [(a, b, c, d) for a in range(6) for b in range(6) for c in range(6) for d in range(6)]
+    assert score(chat.best_path(model, seen, None, None)) == pytest.approx(max(map(score, every)))
+
+
+def test_markers_and_strange_transcripts(spark, talks):
+    assert chat.marker_of("User: hi") == (2, "hi") and chat.marker_of("### Response")[0] == 3 and chat.marker_of("Users: hi")[0] == 0
+    model = chat.fit(talks)
+    raw = frame(spark, [(1, 0, None), (2, 0, ""), (None, 0, "x"), (3, None, "User: a\nAssistant: b"), (3, None, "User: a\nAssistant: b")], "conv_id long, turn long, text string")
+    got = [(r["conv_id"], r["role"], r["text"]) for r in chat.parse(raw, model).orderBy("turn").collect()]
+    assert got == [(3, "user", "a"), (3, "assistant", "b")] * 2
+    empty = talks.limit(0)
+    assert chat.parse(empty, chat.fit(empty)).count() == 0
+
+
+# ---- 6 byte-level BPE ------------------------------------------------------
+
+
+def test_bpe_equals_tiktoken(spark):
+    ranks = bpe.load_ranks(bpe.VOCABULARY)
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(7)
+    rows = [(i, "".join(rnd.choice(["the", "é", "𝔘", " ", "\n", "\x85", "'s", "123", "Ж", "ing", "!", "　"]) for _ in range(rnd.randint(0, 50)))) for i in range(200)]
+    rows += [(900, None), (901, ""), (902, "a" * 5000), (903, "ab" * 3000), (904, "é" * 2000), (905, " " * 3000 + "x"), (None, "no id")]
+    got = {r["doc_id"]: r for r in bpe.encode_documents(frame(spark, rows)).collect()}
+    short = {r["doc_id"]: r for r in bpe.encode_documents(frame(spark, rows), digest=True).collect()}
+    for i, t in rows:
+        ids = encoding.encode_ordinary(t or "")
+        assert got[i]["ids"] == ids and got[i]["decoded"] == (t or "") and got[i]["n_tokens"] == len(ids)
+        assert short[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert short[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.encode_documents(frame(spark, [])).count() == 0
+
+
+# ---- 7 personal data -------------------------------------------------------
+
+_RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_base(text):
+    out = {}
+    for kind, rule in _RULES.items():
+        out[kind] = []
+        for m in re.finditer(rule, text):
+            d = pii.only_digits(m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")) or kind == "card" and not (13 <= len(d) <= 19 and pii.luhn(d)) or kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out[kind].append(m.span())
+    return out
+
+
+def test_base_spans_equal_patterns():
+    rnd = random.Random(3)
+    for _ in range(8000):
+        s = "".join(rnd.choice("0123456789...  --+()@@ab%٣é") for _ in range(rnd.randint(0, 60)))
+        assert pii.base_spans(s) == brute_base(s)
+    assert pii.base_spans("1" * 100_000) == {"email": [], "ip": [], "card": [], "phone": []}
+
+
+def test_model_finds_what_rules_miss():
+    weights = pii._Known(pii.trained_weights())
+    rnd = random.Random(77)
+    right = wrong = missed = 0
+    for _ in range(200):
+        text, gold = pii._sentence(rnd)
+        got = set(pii.viterbi(text, pii.tokens_of(text, 0, len(text)), weights))
+        right, wrong, missed = right + len(got & set(gold)), wrong + len(got - set(gold)), missed + len(set(gold) - got)
+    assert right / (right + missed) > 0.95 and right / (right + wrong) > 0.85
+    _, spans = pii.find_spans("call (415) 555-2671 or mail john [at] acme.com", weights)
+    assert [k for k, _, _ in spans] == ["email", "phone"]
+
+
+def test_pii_rows_and_redaction(spark):
+    text = "é mail a@b.co and 10.0.0.1 end"
+    out = {r["doc_id"]: r for r in pii.detect(frame(spark, [(1, text), (2, None), (3, "")])).collect()}
+    assert out[1]["spans"] == "email:7:13,ip:18:26" and out[1]["base_sha256"] == hashlib.sha256(b"email:7:13,ip:18:26").hexdigest()
+    assert out[2]["spans"] == "" and out[3]["n_email"] == 0
+    docs = spark.createDataFrame([(1, text, 0), (2, None, 5)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(docs).collect()}
+    assert got == {1: ("é mail [EMAIL] and [IP] end", 27), 2: (None, 5)}
+    assert pii.redact(strange(spark)).count() == 7
+
+
+# ---- 8 substrings ----------------------------------------------------------
+
+
+def brute_substrings(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        raw = (t or "").encode()
+        cover = np.zeros(len(raw) + 1, int)
+        for k in range(len(raw) - 99):
+            w = raw[k : k + 100]
+            if w in seen:
+                cover[k] += 1
+                cover[k + 100] -= 1
+            else:
+                seen.add(w)
+        gone = np.cumsum(cover)[: len(raw)] > 0
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if raw else b""
+        out[i] = (i, len(raw), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def repeats(rnd):
+    shared = [words(rnd, 30) for _ in range(5)]
+    rows = []
+    for i in range(120):
+        t, roll = words(rnd, rnd.randint(0, 60)), rnd.random()
+        if roll < 0.3:
+            t += " " + rnd.choice(shared) + words(rnd, rnd.randint(0, 20))
+        elif roll < 0.4 and rows:
+            t = rows[rnd.randrange(len(rows))][1] or ""
+        elif roll < 0.5 and rows:
+            b = rows[rnd.randrange(len(rows))][1] or ""
+            k = rnd.randrange(len(b) + 1)
+            t = b[:k] + "X" + b[k:]
+        elif roll < 0.55:
+            t = "a" * rnd.randint(50, 700)
+        rows.append((i * 3 % 127, t if roll < 0.97 else None))
+    return rows
+
+
+@pytest.mark.parametrize("hot, chunk", [(512, 400_000), (1, 60)])
+def test_substrings_equal_brute_force(spark, monkeypatch, hot, chunk):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "CHUNK_ANCHORS", chunk)
+    monkeypatch.setattr(substrings, "LEAST_BUCKETS", 8)
+    rows = repeats(random.Random(5))
+    got = {r["doc_id"]: tuple(r) for r in substrings.dedup_substrings(frame(spark, rows), digest=True).collect()}
+    assert got == brute_substrings(rows)
+
+
+def test_substring_pieces_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE", 300)
+    monkeypatch.setattr(substrings, "LEAST_BUCKETS", 8)
+    rnd = random.Random(6)
+    big = words(rnd, 700)
+    rows = [(1, big), (2, words(rnd, 50) + big[200:1500]), (3, big)]
+    monkeypatch.setattr(common, "BLOCK_BYTES", 1)
+    got = {r["doc_id"]: tuple(r) for r in substrings.dedup_substrings(frame(spark, rows), digest=True).collect()}
+    assert got == brute_substrings(rows)
+
+
+def test_multikey_order():
+    rnd = np.random.default_rng(0)
+    keys = [rnd.integers(0, 5, 5000).astype(np.uint64), rnd.integers(0, 50, 5000), rnd.integers(0, 10**6, 5000)]
+    order = substrings.multikey_order(keys, small=16)
+    assert list(zip(*(k[order].tolist() for k in keys))) == sorted(zip(*(k.tolist() for k in keys)))
+
+
+def test_substrings_of_strange_rows(spark):
+    out = substrings.dedup_substrings(strange(spark))
+    assert out.count() == 7
+    assert substrings.dedup_substrings(frame(spark, []), digest=True).count() == 0
+
+
+# ---- 9 toxicity ------------------------------------------------------------
+
+
+def test_grammar_weights():
+    def total(*symbols):
+        state, out = 0, 0.0
+        for s in symbols:
+            state, o, factor = toxicity.GRAMMAR.arcs[state][s]
+            out += factor if o in toxicity.HITS else 0.0
+        return out
+
+    T = toxicity
+    assert total(T.INSULT) == 1.0 and total(T.OTHER) == 0.0
+    assert total(T.TARGET, T.INSULT) == pytest.approx(1.2)
+    assert total(T.NEGATION, T.INSULT) == pytest.approx(0.6)
+    assert total(T.REPORT, T.TARGET, T.INSULT) == pytest.approx(0.96)
+    assert total(T.NEGATION, T.OTHER, T.OTHER, T.OTHER, T.INSULT) == 1.0
+    assert total(T.THREAT) == 0.0 and total(T.TARGET, T.THREAT) == pytest.approx(1.2)
+
+
+def test_held_out_accuracy(spark):
+    rnd = random.Random(10)
+    bad = ["vilem", "grubo", "nastak"]
+    rows = []
+    for i in range(600):
+        w = words(rnd, 40).split()
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(2):
+                w.insert(rnd.randrange(len(w)), rnd.choice(bad) + rnd.choice(["", "ine", "ost"]))
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = frame(spark, [r[:2] for r in rows])
+    labels = frame(spark, [(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    fold = toxicity.held_out_fold()
+    model = toxicity.fit(docs, labels, fold)
+    scored = toxicity.score_documents(docs, model).withColumn("held", fold).where("held").join(labels, "doc_id")
+    assert scored.where("predicted = toxic").count() >= 0.97 * scored.count() and scored.count() > 80
+    assert toxicity.without_toxic(docs, model).where("doc_id % 4 = 0").count() < 10
+
+
+def test_toxicity_without_labels_and_strange_rows(spark):
+    none = frame(spark, [], "doc_id long, toxic int")
+    model = toxicity.fit(strange(spark), none)
+    got = toxicity.score_documents(strange(spark), model).collect()
+    assert len(got) == 7 and all(0 <= r["score"] < 0.5 for r in got)
+    assert toxicity.without_toxic(strange(spark), model).count() == 7
+
+
+# ---- 10 quality ------------------------------------------------------------
+
+
+def plain_kneser_ney(texts, order, alphabet):
+    """Interpolated modified Kneser-Ney from its definition."""
+    grams = {order: Counter()}
+    for t in texts:
+        t = [0] * (order - 1) + t
+        for i in range(order - 1, len(t)):
+            grams[order][tuple(t[i - order + 1 : i + 1])] += 1
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    cut = {}
+    for n in grams:
+        cut[n] = quality.discounts(Counter(grams[n].values()))
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / alphabet
+        own = [(g, c) for g, c in grams[n].items() if g[:-1] == gram[:-1]]
+        if not own:
+            return p(gram[1:])
+        total = sum(c for _, c in own)
+        off = lambda c: cut[n][min(c, 3) - 1]
+        c = grams[n].get(gram, 0)
+        return (max(c - off(c), 0) if c else 0) / total + sum(off(c) for _, c in own) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_definition(spark):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("abc. ") for _ in range(rnd.randint(5, 60))) for _ in range(15)]
+    losses = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    p = plain_kneser_ney([[int(quality.CLASS[ord(c)]) for c in t] for t in texts], quality.ORDER, quality.ALPHABET)
+    table = losses.dense()
+    for _ in range(200):
+        gram = tuple(int(quality.CLASS[ord(c)]) for c in (rnd.choice("abc. zX") for _ in range(4)))
+        code = sum(s << (quality.BITS * (3 - i)) for i, s in enumerate(gram))
+        assert np.exp(-table[code]) == pytest.approx(p(gram), rel=1e-4)
+
+
+def test_probabilities_sum_to_one(spark):
+    losses = quality.train(spark.createDataFrame([("abba cab. abba",), ("cab abc",)], "text string"))
+    p = np.exp(-losses.dense().astype(np.float64)).reshape(-1, quality.ALPHABET).sum(axis=1)
+    assert np.allclose(p, 1, atol=1e-4)
+
+
+def test_junk_is_told_from_text(spark):
+    rnd = random.Random(13)
+    rows, labels = [], []
+    for i in range(300):
+        junk = i % 5 == 0
+        t = "".join(rnd.choice("%$#&*XQ|") for _ in range(200)) if junk else words(rnd, 40)
+        rows.append((i, t, "en"))
+        labels.append((i, int(not junk)))
+    docs = frame(spark, rows + [(900, None, None), (901, "", "en")], "doc_id long, text string, lang string")
+    out = quality.classify(docs, frame(spark, labels, "doc_id long, quality int"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(not got[i]["keep"] for i in range(0, 300, 5))
+    assert sum(got[i]["keep"] for i in range(300) if i % 5) >= 0.95 * 240
+    assert got[900]["perplexity"] is None and not got[900]["keep"]
+    none = quality.classify(docs, frame(spark, [], "doc_id long, quality int"))
+    assert none.where("keep").count() == 300
+
+
+# ---- queries ---------------------------------------------------------------
+
+
+@has_data
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_run_and_equal_sql(spark, name):
+    import duckdb
+
+    df = queries.QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+    assert got
+    if name in queries.ORACLE_SQL:
+        con = duckdb.connect()
+        for t in ("documents", "benchmark", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        found = con.execute(queries.ORACLE_SQL[name])
+        at = [x[0] for x in found.description]
+        assert got == sorted((tuple(r[at.index(c)] for c in columns) for r in found.fetchall()), key=str)
+
+
+def test_parameters_are_plain():
+    assert json.dumps([neardup.SIMILARITY, neardup.SHINGLE, decontaminate.WINDOW]) == "[0.8, 5, 8]"
