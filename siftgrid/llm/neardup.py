@@ -13,7 +13,9 @@ the corpus.  Document frequencies are counted over all documents in
 2. Equal texts are one node.  In every band bucket each node is compared with
    the least one (so candidates grow linearly); a pair is linked if its
    weighted Jaccard similarity, computed from whole texts, is ``SIMILARITY``
-   or more.  Very popular least nodes are spread over several groups.
+   or more - with the weights above, or with occurrences alone, so that the
+   many copies of one text, whose common shingles weigh little, are not lost.
+   Very popular least nodes are spread over several groups.
 3. Buckets whose nodes still lie in different components are compared pair by
    pair across components, in blocks of at most ``BLOCK_NODES`` nodes.
 4. Components by alternating large-star and small-star steps; the class id is
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -198,14 +201,27 @@ def signatures(frame: DataFrame, idf) -> DataFrame:
 # ---- verification ----------------------------------------------------------
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
-    """Weighted Jaccard similarity of two (hashes, weights, total)."""
-    least, most = sorted((a[2], b[2]))
-    if least < SIMILARITY * most - 1e-6:
-        return least / most
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
-    return both / (a[2] + b[2] - both)
+@dataclass(frozen=True)
+class Shingled:
+    """A text's sorted shingle hashes with weights, occurrences and the sums of both."""
+
+    hashes: np.ndarray
+    weights: np.ndarray
+    counts: np.ndarray
+    weight: float
+    count: int
+
+
+def alike(a: Shingled, b: Shingled) -> bool:
+    """Whether either weighted Jaccard similarity reaches ``SIMILARITY``."""
+    if min(a.weight, b.weight) < SIMILARITY * max(a.weight, b.weight) - 1e-6 and min(a.count, b.count) < SIMILARITY * max(a.count, b.count):
+        return False
+    _, i, j = np.intersect1d(a.hashes, b.hashes, assume_unique=True, return_indices=True)
+    both = float(np.minimum(a.weights[i], b.weights[j]).sum(dtype=np.float64))
+    if both >= (SIMILARITY - 1e-9) * (a.weight + b.weight - both):
+        return True
+    both = int(np.minimum(a.counts[i], b.counts[j]).sum(dtype=np.int64))
+    return both >= (SIMILARITY - 1e-9) * (a.count + b.count - both)
 
 
 def _set_rows(frame: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
@@ -235,12 +251,13 @@ def _set_rows(frame: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     return chosen.mapInArrow(lean(run), "g long, tag long, node long, words binary")
 
 
-def _unpacked(blob: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _unpacked(blob: bytes, idf: np.ndarray) -> Shingled:
     raw = zstandard.decompress(blob)
     n = len(raw) // 12
     h = np.cumsum(np.frombuffer(raw, np.uint64, n), dtype=np.uint64)
-    w = weights_of(h, np.frombuffer(raw, np.uint32, n, 8 * n), idf)
-    return h, w, float(w.sum(dtype=np.float64))
+    counts = np.frombuffer(raw, np.uint32, n, 8 * n)
+    w = weights_of(h, counts, idf)
+    return Shingled(h, w, counts, float(w.sum(dtype=np.float64)), int(counts.sum(dtype=np.int64)))
 
 
 _LINKS = "a long, b long"
@@ -273,7 +290,7 @@ def link_to_least(frame: DataFrame, members: DataFrame, idf) -> DataFrame:
             if tags[i] != tag:
                 # The least node comes first; repeated rows of it don't matter.
                 tag, own = tags[i], _unpacked(blobs[i].as_py(), idf.value) if nodes[i] == tags[i] else None
-            if own is not None and nodes[i] != tag and similarity(own, _unpacked(blobs[i].as_py(), idf.value)) >= SIMILARITY - 1e-9:
+            if own is not None and nodes[i] != tag and alike(own, _unpacked(blobs[i].as_py(), idf.value)):
                 found.append((int(tag), int(nodes[i])))
         return _links(found)
 
@@ -309,13 +326,14 @@ def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) ->
                 return x
 
             sets = [_unpacked(blobs[i].as_py(), idf.value) for i in rows.tolist()]
-            by_total = np.argsort([s[2] for s in sets])
-            for x, i in enumerate(by_total.tolist()):
-                for j in by_total[x + 1 :].tolist():
-                    if sets[i][2] < SIMILARITY * sets[j][2] - 1e-6:
+            by_count = np.argsort([s.count for s in sets])
+            for x, i in enumerate(by_count.tolist()):
+                for j in by_count[x + 1 :].tolist():
+                    # A weight is between one and two times the count.
+                    if 2 * sets[i].count < SIMILARITY * sets[j].count:
                         break
                     p, q = root(int(labels_[rows[i]])), root(int(labels_[rows[j]]))
-                    if p != q and similarity(sets[i], sets[j]) >= SIMILARITY - 1e-9:
+                    if p != q and alike(sets[i], sets[j]):
                         parent[max(p, q)] = min(p, q)
                         found.append((int(min(nodes[rows[i]], nodes[rows[j]])), int(max(nodes[rows[i]], nodes[rows[j]]))))
         return _links(found)

@@ -80,7 +80,7 @@ def near_copies(rnd):
 
 
 def brute_classes(rows):
-    """Classes by exact weighted Jaccard similarity of all pairs."""
+    """Classes by exact weighted Jaccard similarities of all pairs."""
 
     def counted(text):
         w = plain_words(text)
@@ -89,12 +89,16 @@ def brute_classes(rows):
     counts = {i: counted(t) for i, t in rows}
     df = Counter(g for c in counts.values() for g in c)
     n = len(rows) + 1
+    plain = counts
     sets = {i: {g: k * (1 + math.log(n / (df[g] + 1)) / math.log(n)) for g, k in c.items()} for i, c in counts.items()}
 
-    def alike(x, y):
+    def reaches(x, y):
         both = sum(min(v, y[g]) for g, v in x.items() if g in y)
         return both >= 0.8 * (sum(x.values()) + sum(y.values()) - both) > 0
 
+    def alike(i, j):
+        return reaches(sets[i], sets[j]) or reaches(plain[i], plain[j])
+
     parent = {i: i for i, _ in rows}
 
     def root(x):
@@ -104,7 +108,7 @@ def brute_classes(rows):
 
     for a, (i, t) in enumerate(rows):
         for j, u in rows[:a]:
-            if (t or "") == (u or "") or alike(sets[i], sets[j]):
+            if (t or "") == (u or "") or alike(i, j):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     return {i: root(i) for i, _ in rows}
 
