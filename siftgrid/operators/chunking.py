@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.legal import chunk_header
 from ..functions.text import split_words, word_count
+from .numbering import numbered
 
 MAX_WORDS, MIN_WORDS, OVERLAP, WINDOW_OVERLAP = 450, 120, 80, 64
 FIELDS = ("law_name", "law_no", "article_no", "article_title")
@@ -159,4 +159,4 @@ def structured_chunks(articles: DataFrame, max_words: int = MAX_WORDS, min_words
 
 def metadata(chunks: DataFrame) -> DataFrame:
     """Chunks with an explicit ``doc_id`` (by id order) beside all their columns."""
-    return chunks.withColumn("doc_id", F.row_number().over(W.orderBy("id")).cast("long") - 1)
+    return numbered(chunks, ["id"], "doc_id")

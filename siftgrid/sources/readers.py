@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import digest_id, first_present, slug
 from ..operators.articles import unique_ids
+from ..operators.numbering import numbered
 
 TEXT_SUFFIXES, STRUCTURED_SUFFIXES = (".txt", ".md"), (".json", ".jsonl", ".csv")
 # The names under which fields may come, best first.
@@ -172,16 +173,14 @@ def normalize_documents(rows: DataFrame, collection: str = "Custom Documents", o
     Numbers in defaults (``Doc 0001``) count all rows in order, those without
     text too; repeated ids get ``_2``, ``_3`` ...
     """
-    order = tuple(c for c in order if c in rows.columns)
-    from pyspark.sql import Window as W
-
-    numbered = rows.withColumn("_n", F.row_number().over(W.orderBy(*order)) if order else F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
-    text = present(numbered, TEXT_NAMES)
-    law_no = present(numbered, LAW_NUMBERS, "CUSTOM")
-    article = F.coalesce(F.nullif(present(numbered, ARTICLE_NUMBERS), F.lit("")), F.format_string("Doc %04d", F.col("_n")))
-    given = present(numbered, ID_NAMES)
+    order = [c for c in order if c in rows.columns]
+    placed = numbered(rows, order or [F.monotonically_increasing_id()], "_n", 1)
+    text = present(placed, TEXT_NAMES)
+    law_no = present(placed, LAW_NUMBERS, "CUSTOM")
+    article = F.coalesce(F.nullif(present(placed, ARTICLE_NUMBERS), F.lit("")), F.format_string("Doc %04d", F.col("_n")))
+    given = present(placed, ID_NAMES)
     made = F.btrim(F.concat_ws("_", slug(law_no), slug(article), digest_id(text, "")), F.lit("_"))
-    out = numbered.select("_n", F.when(given != "", slug(given)).otherwise(made).alias("id"), present(numbered, LAW_NAMES, collection).alias("law_name"), law_no.alias("law_no"), article.alias("article_no"), present(numbered, TITLE_NAMES).alias("article_title"), text.alias("text"), present(numbered, URL_NAMES).alias("source_url")).where("text <> ''")
+    out = placed.select("_n", F.when(given != "", slug(given)).otherwise(made).alias("id"), present(placed, LAW_NAMES, collection).alias("law_name"), law_no.alias("law_no"), article.alias("article_no"), present(placed, TITLE_NAMES).alias("article_title"), text.alias("text"), present(placed, URL_NAMES).alias("source_url")).where("text <> ''")
     return unique_ids(out, ["_n"]).drop("_n")
 
 
@@ -203,18 +202,16 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalize_benchmark(raw: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    numbered = raw.withColumn("_n", F.row_number().over(W.orderBy(F.monotonically_increasing_id())))
-    listed = F.filter(F.transform(F.split(present(numbered, GOLD_NAMES), "[|;,]"), F.trim), lambda x: x != "")
+    placed = numbered(raw, [F.monotonically_increasing_id()], "_n", 1)
+    listed = F.filter(F.transform(F.split(present(placed, GOLD_NAMES), "[|;,]"), F.trim), lambda x: x != "")
     if "gold_sources" in raw.columns and isinstance(raw.schema["gold_sources"].dataType, T.ArrayType):
         fields = [f.name for f in raw.schema["gold_sources"].dataType.elementType.fields]
         known = [n for n in GOLD_NAMES if n in fields]
         if known:
             more = F.filter(F.transform(F.coalesce("gold_sources", F.array().cast(raw.schema["gold_sources"].dataType)), lambda s: first_present([s[n] for n in known], "")), lambda x: x != "")
             listed = F.concat(listed, more)
-    question_id = F.coalesce(F.nullif(present(numbered, ("question_id", "row_id", "id")), F.lit("")), F.format_string("custom_%04d", F.col("_n")))
-    return numbered.select(question_id.alias("question_id"), present(numbered, QUESTION_NAMES).alias("question"), present(numbered, ANSWER_NAMES).alias("expected_answer"), F.array_sort(F.array_distinct(listed)).alias("gold_document_ids")).where("question <> ''")
+    question_id = F.coalesce(F.nullif(present(placed, ("question_id", "row_id", "id")), F.lit("")), F.format_string("custom_%04d", F.col("_n")))
+    return placed.select(question_id.alias("question_id"), present(placed, QUESTION_NAMES).alias("question"), present(placed, ANSWER_NAMES).alias("expected_answer"), F.array_sort(F.array_distinct(listed)).alias("gold_document_ids")).where("question <> ''")
 
 
 def read_dense_scores(spark: SparkSession, path: str) -> DataFrame:
