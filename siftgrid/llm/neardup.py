@@ -48,7 +48,7 @@ CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 CELL_CHUNK = 1 << 16
 #: Members per group of a popular node, and nodes of a block in the pairwise step.
-MEMBERS, BLOCK_NODES = 256, 256
+MEMBERS, BLOCK_NODES = 256, 128
 #: Rows of (id, group) that are broadcast to pick texts for verification; beyond, a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
 LEAST_GROUPS = 256
@@ -277,9 +277,11 @@ def link_to_least(frame: DataFrame, members: DataFrame, idf) -> DataFrame:
     """Compare each node of a bucket with its least node; verified links ``a < b``."""
     least = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
     pairs = checkpoint(members.join(least, "key").where("node <> least").select("node", "least").distinct())
-    degree = pairs.groupBy("least").agg(F.ceil(F.count("*") / MEMBERS).alias("shares"))
+    # Only popular least nodes need several groups; there is one for MEMBERS pairs at most.
+    popular = checkpoint(pairs.groupBy("least").agg(F.ceil(F.count("*") / MEMBERS).alias("shares")).where("shares > 1"))
     groups = max(LEAST_GROUPS, pairs.count() // MEMBERS)
-    dealt = pairs.join(degree, "least").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("g", F.pmod(F.xxhash64("least", "share"), F.lit(groups)))
+    side = F.broadcast(popular) if popular.count() <= MAX_BROADCAST_ROWS else popular
+    dealt = pairs.join(side, "least", "left").withColumn("share", F.pmod(F.xxhash64("node"), F.coalesce("shares", F.lit(1)))).withColumn("g", F.pmod(F.xxhash64("least", "share"), F.lit(groups)))
     wanted = dealt.select("node", "g", F.col("least").alias("tag")).unionByName(dealt.select(F.col("least").alias("node"), "g", F.col("least").alias("tag")).distinct())
 
     def verify(table: pa.Table) -> pa.Table:
@@ -306,7 +308,7 @@ def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) ->
     rows = named.join(open_, "key").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK_NODES)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
     # A node meets every block: pairs of blocks (own, other) with the smaller number first.
     rows = checkpoint(rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).select("node", "label", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tag")))
-    groups = max(LEAST_GROUPS, rows.count() // MEMBERS)
+    groups = max(LEAST_GROUPS, rows.count() // (BLOCK_NODES // 2))
     place = rows.select("node", F.pmod(F.xxhash64("tag"), F.lit(groups)).alias("g"), "tag")
 
     def verify(table: pa.Table) -> pa.Table:
