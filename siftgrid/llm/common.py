@@ -32,8 +32,16 @@ _BASE = int(_RNG.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: Tables under so many bytes per core are dealt out to all cores.
+SMALL_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one, often a single row group, is dealt out to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(cores) if size < cores * SMALL_BYTES else rows
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ the corpus.  Document frequencies are counted over all documents in
 1. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per
    text; two texts agree in one with a probability equal to their weighted
    Jaccard similarity.  ``ROWS`` samples make a band.  At similarity 0.8 a
-   pair of texts shares no band with probability 4e-5, and none is lost later.
+   pair of texts shares no band with probability 8e-5, and none is lost later.
 2. Equal texts are one node.  In every band bucket each node is compared with
    the least one (so candidates grow linearly); a pair is linked if its
    weighted Jaccard similarity, computed from whole texts, is ``SIMILARITY``
@@ -43,12 +43,12 @@ from .common import LOWER, blocks, checkpoint, id_and_text, lean, lean_group, mi
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 14, 3
+BANDS, ROWS = 18, 4
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 CELL_CHUNK = 1 << 16
 #: Members per group of a popular node, and nodes of a block in the pairwise step.
-MEMBERS, BLOCK_NODES = 256, 128
+MEMBERS, BLOCK_NODES = 256, 256
 #: Rows of (id, group) that are broadcast to pick texts for verification; beyond, a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
 LEAST_GROUPS = 256
@@ -308,7 +308,7 @@ def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) ->
     rows = named.join(open_, "key").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK_NODES)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
     # A node meets every block: pairs of blocks (own, other) with the smaller number first.
     rows = checkpoint(rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).select("node", "label", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tag")))
-    groups = max(LEAST_GROUPS, rows.count() // (BLOCK_NODES // 2))
+    groups = max(LEAST_GROUPS, rows.count() // MEMBERS)
     place = rows.select("node", F.pmod(F.xxhash64("tag"), F.lit(groups)).alias("g"), "tag")
 
     def verify(table: pa.Table) -> pa.Table:
