@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: Tables under so many bytes per core are dealt out to all cores.
+SMALL_BYTES = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table, often one row group and so one task, dealt out to all cores.
+
+    Tables that fill the cluster stay as they are, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(cores) if size < cores * SMALL_BYTES else rows
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
