@@ -48,6 +48,7 @@ LENGTH = 100
 TOKEN = 24
 HOT = 512
 #: Anchors that a task gathers before it sends them off; documents that give the splitters.
+CHUNK_BYTES = 24 << 20
 CHUNK_ANCHORS, SAMPLE_DOCUMENTS, SAMPLE_PER_DOCUMENT = 400_000, 4_000, 16
 #: Text bytes behind one bucket of anchors, and in one part of documents; least number of either.
 BUCKET_BYTES, PART_BYTES, LEAST_BUCKETS = 8 << 20, 4 << 20, 256
@@ -294,11 +295,25 @@ def earliest(anchors: DataFrame, parts: int) -> DataFrame:
 
 
 def send_documents(docs: DataFrame, parts: int) -> DataFrame:
+    """Documents by part, in blobs of some ``CHUNK_BYTES`` of text per task and round."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        data, offsets = text_buffers(table.column(1))
+        ids = table.column(0).fill_null(int(NULL_ID)).to_numpy().astype(np.int64)
+        sizes, null = np.diff(offsets), table.column(0).is_null().to_numpy()
+        return _rows([(g, 0, pack([(ids[r], False), (sizes[r], False), (null[r].astype(np.uint8), False)], b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in r.tolist()))) for g, r in by_group(part_of(ids, parts))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            ids, sizes, null = _ids(batch), np.diff(offsets), np.asarray(batch.column(0).is_null())
-            yield _rows([(g, 0, pack([(ids[r], False), (sizes[r], False), (null[r].astype(np.uint8), False)], b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in r.tolist()))) for g, r in by_group(part_of(ids, parts))])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= CHUNK_BYTES:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
 
     return docs.mapInArrow(lean(run), _BLOBS)
 
