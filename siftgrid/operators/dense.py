@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Query rows that every task holds at once; more are dealt into blocks.
 QUERY_BLOCK = 4_096
+#: Digits to which scores are rounded before they rank, so that equal vectors
+#: tie in whatever order their products were summed.
+DIGITS = 9
 
 
 def inner_product(left: Column, right: Column) -> Column:
@@ -65,8 +68,7 @@ def _scorer(held, k: int):
                 if not len(rows):
                     continue
                 points = flat[starts[rows][:, None] + np.arange(size)[None, :]] if size else np.zeros((len(rows), 0))
-                # Products are summed in the vector's order, as inner_product() does.
-                scores = matrix @ points.T
+                scores = np.round(matrix @ points.T, DIGITS)
                 for name, row in zip(names, scores):
                     old = best.get(name)
                     s, d = (row, ids[rows]) if old is None else (np.concatenate([old[0], row]), np.concatenate([old[1], ids[rows]]))

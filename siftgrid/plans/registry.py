@@ -117,7 +117,7 @@ def _words(spark: SparkSession, d: str, k: int = 250) -> DataFrame:
 
 
 def _near(spark: SparkSession, d: str, k: int = 150) -> DataFrame:
-    return _steady(dense.search(tables.vectors(spark, d), tables.questions(spark, d).where("embedding is not null"), k), "dense")
+    return dense.search(tables.vectors(spark, d), tables.questions(spark, d).where("embedding is not null"), k)
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +276,7 @@ def hybrid_search(spark, d):
     return _hybrid(spark, d).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", *[F.round(c, 5).alias(c) for c in ("dense", "bm25", "score")])
 
 
-_PARENT = """best AS (SELECT *, doc_id // 4 AS parent_id FROM {0}), one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS p FROM best),
+_PARENT = """best AS (SELECT *, doc_id // 4 AS parent_id FROM {0} SEMI JOIN documents USING (doc_id)), one AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS p FROM best),
 res AS (SELECT query_id, parent_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM one WHERE p = 1)"""
 
 
@@ -343,7 +343,7 @@ def _hints(spark, d) -> DataFrame:
 
 _BOOST_SQL = """hints AS (SELECT item_id AS query_id, list(DISTINCT s.source) AS laws, CAST(item_id AS VARCHAR) AS art FROM benchmark b JOIN (SELECT DISTINCT source FROM documents) s ON contains('law src' || (item_id % 20) || ' madde ' || item_id, 'law ' || s.source) GROUP BY item_id),
 bo AS (SELECT hy.query_id, hy.doc_id, hy.rank AS before, hy.score + CASE WHEN lm THEN {law} ELSE 0.0 END + CASE WHEN lm AND am THEN {article} + {exact} WHEN am THEN {article} * 0.5 ELSE 0.0 END AS score FROM
-  (SELECT hy.*, coalesce(list_contains(h.laws, t.source), false) AS lm, coalesce(h.art = CAST(t.doc_id AS VARCHAR), false) AS am FROM hy JOIN documents t USING (doc_id) LEFT JOIN hints h USING (query_id)) hy)"""
+  (SELECT hy.*, coalesce(list_contains(h.laws, t.source), false) AS lm, coalesce(h.art = CAST(t.doc_id AS VARCHAR), false) AS am FROM hy LEFT JOIN documents t USING (doc_id) LEFT JOIN hints h USING (query_id)) hy)"""
 
 
 @query(f"WITH {HYBRID}, {_BOOST_SQL.format(law='0.05', article='0.25', exact='0.5')} SELECT query_id, doc_id, round(score, 5) AS score FROM bo")
@@ -391,8 +391,8 @@ gc AS (SELECT * FROM gp JOIN cfg USING (config)),
 gh AS {blend_('gc', 'config, query_id', 'alpha', 'preliminary')},
 hints AS (SELECT item_id AS query_id, list(DISTINCT s.source) AS laws, CAST(item_id AS VARCHAR) AS art FROM benchmark b JOIN (SELECT DISTINCT source FROM documents) s ON contains('law src' || (item_id % 20) || ' madde ' || item_id, 'law ' || s.source) GROUP BY item_id),
 gb AS (SELECT *, score + CASE WHEN lm THEN law ELSE 0.0 END + CASE WHEN lm AND am THEN article + exact WHEN am THEN article * 0.5 ELSE 0.0 END AS total FROM
-  (SELECT gh.*, coalesce(list_contains(h.laws, t.source), false) AS lm, coalesce(h.art = CAST(t.doc_id AS VARCHAR), false) AS am FROM gh JOIN documents t USING (doc_id) LEFT JOIN hints h USING (query_id))),
-gr AS (SELECT *, doc_id // 4 AS parent_id, row_number() OVER (PARTITION BY config, query_id ORDER BY round(total, 9) DESC, doc_id) AS r1 FROM gb),
+  (SELECT gh.*, coalesce(list_contains(h.laws, t.source), false) AS lm, coalesce(h.art = CAST(t.doc_id AS VARCHAR), false) AS am FROM gh LEFT JOIN documents t USING (doc_id) LEFT JOIN hints h USING (query_id))),
+gr AS (SELECT *, doc_id // 4 AS parent_id, row_number() OVER (PARTITION BY config, query_id ORDER BY round(total, 9) DESC, doc_id) AS r1 FROM gb SEMI JOIN documents USING (doc_id)),
 g1 AS (SELECT *, row_number() OVER (PARTITION BY config, query_id, parent_id ORDER BY r1) AS p FROM gr),
 g2 AS (SELECT config, query_id, parent_id, row_number() OVER (PARTITION BY config, query_id ORDER BY r1) AS rank FROM g1 WHERE p = 1),
 g10 AS (SELECT * FROM g2 WHERE rank <= 10)"""
@@ -415,6 +415,12 @@ def _answers(spark, d) -> DataFrame:
     return talk.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.col("role").alias("model"), F.substring("text", 1, 300).alias("generated_answer"), F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.substring("expected_answer", 1, 200)).alias("expected_answer"))
 
 
+def _overlaps(spark, d) -> DataFrame:
+    p, r = F.col("generated_answer"), F.col("expected_answer")
+    known = F.trim(r) != ""
+    return _answers(spark, d).select("conv_id", "turn", "model", F.when(known, metrics.exact_match(p, r)).alias("em"), F.when(known, metrics.token_f1(p, r)).alias("f1"))
+
+
 _ANSWERS = "ans AS (SELECT a.conv_id, a.turn, a.role AS model, substr(a.text, 1, 300) AS p, CASE WHEN a.turn % 5 = 0 THEN '' ELSE substr(b.text, 1, 200) END AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
 _F1 = f"""cnt AS (SELECT conv_id, turn, sum(least(x.c, y.c)) AS shared FROM (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, unnest({words_('p')}) AS w FROM ans) GROUP BY ALL) x
   JOIN (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, unnest({words_('r')}) AS w FROM ans) GROUP BY ALL) y USING (conv_id, turn, w) GROUP BY ALL),
@@ -425,15 +431,12 @@ am AS (SELECT conv_id, turn, model, CASE WHEN trim(r) <> '' THEN CASE WHEN {word
 
 @query(f"WITH {_ANSWERS}, {_F1} SELECT conv_id, turn, em, round(f1, 6) AS f1 FROM am")
 def answer_overlap(spark, d):
-    p, r = F.col("generated_answer"), F.col("expected_answer")
-    known = F.trim(r) != ""
-    return _answers(spark, d).select("conv_id", "turn", F.when(known, metrics.exact_match(p, r)).alias("em"), F.round(F.when(known, metrics.token_f1(p, r)), 6).alias("f1"))
+    return _overlaps(spark, d).select("conv_id", "turn", "em", F.round("f1", 6).alias("f1"))
 
 
 @query(f"WITH {_ANSWERS}, {_F1} SELECT model, count(*) AS questions, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1 FROM am GROUP BY model")
 def answer_summary(spark, d):
-    rows = answer_overlap(spark, d).join(_answers(spark, d).select("conv_id", "turn", "model"), ["conv_id", "turn"])
-    return rows.groupBy("model").agg(F.count("*").alias("questions"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("f1"), 6).alias("f1"))
+    return _overlaps(spark, d).groupBy("model").agg(F.count("*").alias("questions"), F.round(F.avg("em"), 6).alias("em"), F.round(F.avg("f1"), 6).alias("f1"))
 
 
 @query()
