@@ -32,7 +32,7 @@ _BASE = int(_RNG.integers(1 << 62, 1 << 63, dtype=np.uint64)) | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-#: Tables under so many bytes per core are dealt out to all cores.
+#: Tables under so many bytes per core, and of fewer files than cores, are dealt out to all cores.
 SMALL_BYTES = 16 << 20
 
 
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < cores * SMALL_BYTES else rows
+    return rows.repartition(cores) if size < cores * SMALL_BYTES and len(rows.inputFiles()) < cores else rows
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
