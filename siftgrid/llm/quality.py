@@ -1,17 +1,25 @@
-"""Quality by an interpolated modified Kneser-Ney model (operator 10).
-
-The model is trained on trusted texts (``labels.quality`` = 1) of the whole
-table.  Its units are ``ALPHABET`` character classes and its order is
-``ORDER``, so there are at most 64**4 = 16.8 million distinct n-grams whatever
-the input: that is the proven bound of what is collected and broadcast.
-Counting is sharded: every task sums the n-grams of its own trusted texts, the
-sums are shuffled by n-gram, and joins of the count tables with their context
-totals and lower orders give the interpolated probabilities.  Scoring looks up
-each position of every text.
+"""Quality by interpolated modified Kneser-Ney models over words (operator 10).
+
+The models are trained on trusted texts (``labels.quality`` = 1) of the whole
+table.  The first has order ``WORD_ORDER`` over tokens: runs of word bytes and
+runs of other bytes, as they are written (only a single space between tokens
+is none).  Its n-grams grow with the input, so they are never collected or
+broadcast: counts are summed per task, shuffled by n-gram and joined with their
+context totals and lower orders.  With ``d`` of an n-gram (what it adds to the
+loss given by shorter ones) and ``g`` of a context (what backing off from it
+adds), the loss of a text is a sum over its n-grams.  Those of each text,
+counted per text first and packed, meet the values in shards of their keys,
+and what they add is summed per text.
+
+A token that no trained text has is spelled by the second model, of order
+``ORDER`` over ``ALPHABET`` character classes; that one has at most 64**4 =
+16.8 million n-grams whatever the input, and is broadcast.  A seen token is
+not also spelled (the words back off to characters, they don't interpolate).
 
 A fifth of the trusted documents (by hash of the id) is not trained on but
 calibrates: a document's perplexity per character is compared with a quantile
-of those of its language.  A language with fewer than ``MIN_CALIBRATION`` of
+of those of its language, and so is that by the characters alone: a text is
+kept if neither its words nor its spelling is unusual.  A language with fewer than ``MIN_CALIBRATION`` of
 them takes the threshold of all languages if that is higher.  For that decision the mean log-loss is
 drawn to the language's trusted mean by ``PRIOR_CHARS`` characters, so that a
 few unusual letters of a short text don't decide.
@@ -25,19 +33,24 @@ is 64 (uniform) and every non-empty text is kept.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpoint, lean, text_buffers
+from .common import IS_WORD, blocks, checkpoint, lean, mix64, prefix_hash, span_hash, text_buffers
 
 ORDER = 4
 BITS = 6
 ALPHABET = 1 << BITS
 CELLS = 1 << (BITS * ORDER)
+WORD_ORDER = 3
+#: Characters of all texts per shard of n-grams, and bytes of texts whose n-grams are packed at a time.
+SHARD_CHARS, BAG_BYTES = 32_000_000, 8_000_000
 QUANTILE = 0.99
 PRIOR_CHARS = 40
 #: Trusted ids are broadcast up to this number (8 bytes each), else joined by shuffle.
@@ -182,41 +195,249 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def log_losses(docs: DataFrame, losses: Losses) -> DataFrame:
-    """``doc_id, lang, chars, loss``: units and summed log-loss of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(losses)
+# ---- words -----------------------------------------------------------------
+
+_WORD_STEP = np.random.default_rng(10).integers(1 << 62, 1 << 63, WORD_ORDER, dtype=np.uint64) | np.uint64(1)
+#: What stands before the first token of a text.
+_BEGIN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def token_spans(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the tokens of a block."""
+    if not len(part):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    inside = IS_WORD[part]
+    heads = offsets[:-1]
+    starts = np.unique(np.concatenate([heads[heads < len(part)], np.flatnonzero(inside[1:] != inside[:-1]) + 1]))
+    ends = np.append(starts[1:], len(part))
+    kept = (ends - starts > 1) | (part[starts] != 32)
+    starts, ends = starts[kept], ends[kept]
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def word_keys(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+    """Keys of the 1-, 2-, ... grams that end at each token."""
+    words = span_hash(prefix_hash(part), starts, ends)
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    total, out = words * _WORD_STEP[0], []
+    for order in range(1, WORD_ORDER + 1):
+        if order > 1:
+            older = np.full_like(words, _BEGIN)
+            older[order - 1 :] = words[: len(words) - order + 1]
+            total = total + np.where(place >= order - 1, older, _BEGIN) * _WORD_STEP[order - 1]
+        out.append(mix64(total + np.uint64(order)))
+    return out
+
+
+def begin_key(order: int) -> np.uint64:
+    return mix64((_WORD_STEP[:order] * _BEGIN).sum(keepdims=True) + np.uint64(order))[0]
+
+
+def before(keys: np.ndarray, row: np.ndarray, order: int) -> np.ndarray:
+    """Keys of the ``order``-grams that end before each token."""
+    out = np.full_like(keys, begin_key(order))
+    same = np.flatnonzero(row[1:] == row[:-1]) + 1
+    out[same] = keys[same - 1]
+    return out
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``k1, k2, k3, c1, c2, n``: trigrams with the keys of their ends and of the contexts of those."""
+    names = [*[f"k{o}" for o in range(1, WORD_ORDER + 1)], *[f"c{o}" for o in range(1, WORD_ORDER)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for _, _, part, offs in blocks(data, offsets):
+                starts, ends, row = token_spans(part, offs)
+                if len(starts):
+                    keys = word_keys(part, starts, ends, row)
+                    rows = [*keys, *[before(keys[o - 1], row, o) for o in range(1, WORD_ORDER)]]
+                    _, at, n = np.unique(keys[-1], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[at].view(np.int64)) for c in rows], pa.array(n)], [*names, "n"])
+
+    counted = docs.select("text").mapInArrow(lean(run), ", ".join(f"{c} long" for c in [*names, "n"]))
+    return counted.groupBy(f"k{WORD_ORDER}").agg(*[F.first(c).alias(c) for c in names if c != f"k{WORD_ORDER}"], F.sum("n").alias("n"))
+
+
+def word_values(counts: DataFrame) -> tuple[DataFrame, float]:
+    """``key, d, g`` of every seen n-gram and context, and the loss of leaving the seen tokens."""
+    grams = {WORD_ORDER: counts}
+    for order in range(WORD_ORDER - 1, 0, -1):
+        rest = [f"k{o}" for o in range(1, order)] + [f"c{o}" for o in range(1, order)]
+        grams[order] = checkpoint(grams[order + 1].groupBy(f"k{order}").agg(*[F.first(c).alias(c) for c in rest], F.count("*").alias("n")))
+    parts, lower, unseen = [], None, 0.0
+    for order in range(1, WORD_ORDER + 1):
+        table = grams[order]
+        d1, d2, d3 = discounts({r["n"]: r["k"] for r in table.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()})
+        table = table.withColumn("cut", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
+        if order == 1:
+            total = table.agg(F.sum("n").alias("all"), F.sum("cut").alias("left")).first()
+            if not total["all"]:
+                return counts.sparkSession.createDataFrame([], "key long, d double, g double"), 0.0
+            unseen = -float(np.log(total["left"] / total["all"]))
+            seen = table.select(F.col("k1").alias("key"), ((F.col("n") - F.col("cut")) / total["all"]).alias("p")).withColumn("d", -F.log("p"))
+        else:
+            context = f"c{order - 1}"
+            totals = checkpoint(table.groupBy(context).agg(F.sum("n").alias("all"), F.sum("cut").alias("left")).select(context, "all", (F.col("left") / F.col("all")).alias("gamma")))
+            joined = table.join(totals, context).join(lower.select(F.col("key").alias(f"k{order - 1}"), F.col("p").alias("p_lower")), f"k{order - 1}")
+            seen = joined.select(F.col(f"k{order}").alias("key"), ((F.col("n") - F.col("cut")) / F.col("all")).alias("own"), (F.col("gamma") * F.col("p_lower")).alias("less")).select("key", (F.col("own") + F.col("less")).alias("p"), (-F.log1p(F.col("own") / F.col("less"))).alias("d"))
+            parts.append(totals.select(F.col(context).alias("key"), F.lit(0.0).alias("d"), (-F.log("gamma")).alias("g")))
+        lower = checkpoint(seen)
+        parts.append(lower.select("key", "d", F.lit(0.0).alias("g")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return checkpoint(every.groupBy("key").agg(F.sum("d").alias("d"), F.sum("g").alias("g"))), unseen
+
+
+def _row_marks(ids: list, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number for each row's id and text; rows that repeat have the same."""
+    return np.array([int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8, key=str(i).encode()).digest(), "little", signed=True) for i, a, b in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.int64)
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+
+
+def _pack(n: int, columns: list[np.ndarray]) -> bytes:
+    """Columns, byte by byte, compressed; all but the last have ``n`` values."""
+    return zstandard.compress(n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns), 1)
+
+
+def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    n, at, out = int.from_bytes(raw[:8].tobytes(), "little"), 8, []
+    for i, kind in enumerate(map(np.dtype, kinds)):
+        size = n * kind.itemsize if i < len(kinds) - 1 else len(raw) - at
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(kind.itemsize, -1).T).view(kind).ravel())
+        at += size
+    return out
+
+
+def log_losses(docs: DataFrame, losses: Losses, values: DataFrame, unseen: float) -> DataFrame:
+    """``doc_id, lang, chars, letters, loss``: units of every row and summed log-losses, by the characters alone and by the words."""
+    held = docs.sparkSession.sparkContext.broadcast(losses)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+
+    def spelled(part: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed loss of the characters before each byte, and row bounds in characters."""
+        code, bounds = codes(part, offs)
+        total = np.zeros(len(code) + 1)
+        np.cumsum(table[code], dtype=np.float64, out=total[1:])
+        at = np.zeros(len(part) + 1, dtype=np.int64)
+        np.cumsum(~IS_LEAD[part], out=at[1:])
+        return total[at], bounds
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows as if no token had been seen."""
         table = held.value.dense()
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
-            chars, loss = [], []
+            chars, letters, loss = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
             for _, _, part, offs in blocks(data, offsets):
-                code, bounds = codes(part, offs)
-                total = np.zeros(len(code) + 1)
-                np.cumsum(table[code], dtype=np.float64, out=total[1:])
+                total, bounds = spelled(part, offs, table)
                 chars.append(np.diff(bounds))
-                loss.append(np.round(np.diff(total[bounds]), 6))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(chars) if chars else [], pa.int64()), pa.array(np.concatenate(loss) if loss else [], pa.float64())], ["doc_id", "lang", "chars", "loss"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, lang string, chars long, loss double")
-
+                letters.append(np.round(np.diff(total[offs]), 6))
+                loss.append(letters[-1] + unseen * np.bincount(token_spans(part, offs)[2], minlength=len(offs) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_row_marks(batch.column(0).to_pylist(), data, offsets)), batch.column(0), batch.column(1), pa.array(np.concatenate(chars), pa.int64()), pa.array(np.concatenate(letters), pa.float64()), pa.array(np.concatenate(loss), pa.float64())], ["mark", "doc_id", "lang", "chars", "letters", "base"])
+
+    found = checkpoint(rows.mapInArrow(lean(base), "mark long, doc_id long, lang string, chars long, letters double, base double"))
+    shards = 1 + (found.agg(F.sum("chars")).first()[0] or 0) // SHARD_CHARS
+
+    def grams_of(part: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """Keys and rows of a block's n-grams: how often as n-gram, how often as context, and their part of the base."""
+        starts, ends, row = token_spans(part, offs)
+        if not len(starts):
+            return None
+        total, _ = spelled(part, offs, table)
+        first = np.concatenate([[True], row[1:] != row[:-1]])
+        last = np.append(first[1:], True)
+        begin = np.where(first, offs[row], starts)
+        own = total[np.where(last, offs[row + 1], np.append(begin[1:], 0))] - total[begin] + unseen
+        heads = row[first]
+        parts = []
+        for order, keys in enumerate(word_keys(part, starts, ends, row), 1):
+            one, zero = np.ones(len(row), np.int64), np.zeros(len(row), np.int64)
+            parts.append((keys, row, one, (~last).astype(np.int64) if order < WORD_ORDER else zero, own if order == 1 else zero.astype(float)))
+            if order < WORD_ORDER:
+                parts.append((np.full(len(heads), begin_key(order)), heads, np.zeros(len(heads), np.int64), np.ones(len(heads), np.int64), np.zeros(len(heads))))
+        key, of, n, m, b = (np.concatenate(x) for x in zip(*parts))
+        by = np.lexsort((of, key))
+        key, of = key[by], of[by]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+        return key[new], of[new], *[np.add.reduceat(x[by], new) for x in (n, m, b)]
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """n-grams of about ``BAG_BYTES`` of texts at a time, packed by shard of their keys."""
+        table = held.value.dense()
+        marks, grams, n_rows, n_bytes = [], [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            key, of, n, m, b = (np.concatenate(x) for x in zip(*grams))
+            shard = shard_of(key, shards)
+            by = np.lexsort((key, shard))
+            cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1]]))
+            blobs, known = [], np.concatenate(marks)
+            for at in np.split(by, cuts[1:]):
+                used, place = np.unique(of[at], return_inverse=True)
+                blobs.append(_pack(len(at), [np.diff(key[at], prepend=np.uint64(0)), place.astype(np.uint32), n[at].astype(np.uint32), m[at].astype(np.uint32), b[at].astype(np.float32), known[used]]))
+            return pa.RecordBatch.from_arrays([pa.array(shard[by][cuts]), pa.array(blobs, pa.binary())], ["shard", "bag"])
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``doc_id, lang, n_chars, perplexity, threshold, keep`` for every row."""
-    ids = trusted_ids(labels)
-    losses = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids.where("not calibrates"), "doc_id", "left_semi").select("text"))
-    scored = checkpoint(log_losses(docs, losses))
-    known = scored.where("chars > 0").join(ids.where("calibrates"), "doc_id", "left_semi")
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            marks.append(_row_marks(batch.column(0).to_pylist(), data, offsets))
+            for i, _, part, offs in blocks(data, offsets):
+                found_ = grams_of(part, offs, table)
+                if found_:
+                    grams.append((found_[0], found_[1] + i + n_rows, *found_[2:]))
+            n_rows, n_bytes = n_rows + batch.num_rows, n_bytes + len(data)
+            if n_bytes >= BAG_BYTES and grams:
+                yield packed()
+                marks, grams, n_rows, n_bytes = [], [], 0, 0
+        if grams:
+            yield packed()
+
+    def changes(bag: pa.Table, value: pa.Table) -> pa.Table:
+        """What a shard's seen n-grams change, in whole millionths, so that sums don't depend on their order."""
+        keys = value.column("key").to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        keys, d, g = keys[by], value.column("d").to_numpy()[by], value.column("g").to_numpy()[by]
+        marks, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for blob in bag.column("bag") if len(keys) else ():
+            delta, place, n, m, b, known = _unpack(blob.as_py(), (np.uint64, np.uint32, np.uint32, np.uint32, np.float32, np.int64))
+            key = np.cumsum(delta, dtype=np.uint64)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == key)
+            if len(hit):
+                at = at[hit]
+                total = np.zeros(len(known), np.int64)
+                np.add.at(total, place[hit], np.round((n[hit] * d[at] + m[hit] * g[at] - b[hit]) * 1e6).astype(np.int64))
+                some = np.unique(place[hit])
+                marks.append(known[some])
+                sums.append(total[some])
+        return pa.table({"mark": np.concatenate(marks), "change": np.concatenate(sums)})
+
+    bag = rows.select("doc_id", "text").where("text <> ''").mapInArrow(lean(bags), "shard long, bag binary").groupBy("shard")
+    value = values.withColumn("shard", F.pmod(F.shiftrightunsigned("key", 40), F.lit(shards))).groupBy("shard")
+    seen = bag.cogroup(value).applyInArrow(changes, "mark long, change long").groupBy("mark").agg(F.sum("change").alias("change"))
+    copies = found.groupBy("mark").agg(F.count("*").alias("copies"))
+    per_row = seen.join(copies, "mark").select("mark", (F.col("change") / F.col("copies") / 1e6).alias("change"))
+    return found.join(per_row, "mark", "left").select("doc_id", "lang", "chars", "letters", F.round(F.col("base") + F.coalesce("change", F.lit(0.0)), 6).alias("loss"))
+
+
+def drawn_and_limit(known: DataFrame, loss: str, quantile: float) -> tuple[Column, Column] | None:
+    """A row's mean log-loss, drawn to the trusted mean, and the limit of its language; none without trusted rows."""
     group = F.coalesce("lang", F.lit("\x00"))
     # Means and then histograms per language; "*" stands for all.
     spread = known.withColumn("g", F.explode(F.array(group, F.lit("*"))))
-    means = {r["g"]: r["m"] for r in spread.groupBy("g").agg((F.sum(F.round("loss", 3).cast("decimal(28,3)")).cast("double") / F.sum("chars")).alias("m")).collect()}
+    means = {r["g"]: r["m"] for r in spread.groupBy("g").agg((F.sum(F.round(loss, 3).cast("decimal(28,3)")).cast("double") / F.sum("chars")).alias("m")).collect()}
     if not means:
-        return scored.select("doc_id", "lang", F.col("chars").alias("n_chars"), F.when(F.col("chars") > 0, F.lit(float(ALPHABET))).alias("perplexity"), F.lit(float(ALPHABET)).alias("threshold"), (F.col("chars") > 0).alias("keep"))
+        return None
     mean_of = F.create_map(*[x for k, v in means.items() for x in (F.lit(k), F.lit(v))])
     prior = F.coalesce(F.try_element_at(mean_of, F.coalesce("lang", F.lit("\x00"))), F.lit(means["*"]))
-    drawn = (F.col("loss") + PRIOR_CHARS * prior) / (F.col("chars") + PRIOR_CHARS)
+    drawn = (F.col(loss) + PRIOR_CHARS * prior) / (F.col("chars") + PRIOR_CHARS)
     bins = known.withColumn("bin", F.ceil(drawn / BIN)).withColumn("g", F.explode(F.array(group, F.lit("*")))).groupBy("g", "bin").agg(F.count("*").alias("n")).collect()
     limits: dict[str, float] = {}
     few = set()
@@ -234,4 +455,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
         limits[g] = max(limits[g], limits["*"])
     limit_of = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
     limit = F.coalesce(F.try_element_at(limit_of, F.coalesce("lang", F.lit("\x00"))), F.lit(limits["*"]))
-    return scored.select("doc_id", "lang", F.col("chars").alias("n_chars"), F.when(F.col("chars") > 0, F.round(F.exp(F.col("loss") / F.col("chars")), 6)).alias("perplexity"), F.round(F.exp(limit), 6).alias("threshold"), ((F.col("chars") > 0) & (drawn <= limit)).alias("keep"))
+    return drawn, limit
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``doc_id, lang, n_chars, perplexity, threshold, keep`` for every row."""
+    ids = trusted_ids(labels)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids.where("not calibrates"), "doc_id", "left_semi").select("text")
+    losses = train(texts)
+    scored = checkpoint(log_losses(docs, losses, *word_values(checkpoint(word_counts(texts)))))
+    known = scored.where("chars > 0").join(ids.where("calibrates"), "doc_id", "left_semi")
+    words, letters = drawn_and_limit(known, "loss", quantile), drawn_and_limit(known, "letters", quantile)
+    if words is None or letters is None:
+        return scored.select("doc_id", "lang", F.col("chars").alias("n_chars"), F.when(F.col("chars") > 0, F.lit(float(ALPHABET))).alias("perplexity"), F.lit(float(ALPHABET)).alias("threshold"), (F.col("chars") > 0).alias("keep"))
+    usual = (words[0] <= words[1]) & (letters[0] <= letters[1])
+    return scored.select("doc_id", "lang", F.col("chars").alias("n_chars"), F.when(F.col("chars") > 0, F.round(F.exp(F.col("loss") / F.col("chars")), 6)).alias("perplexity"), F.round(F.exp(words[1]), 6).alias("threshold"), ((F.col("chars") > 0) & usual).alias("keep"))

@@ -577,6 +577,61 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(p, 1, atol=1e-4)
 
 
+def test_word_model_equals_definition(spark):
+    rnd = random.Random(21)
+    made = lambda: " ".join(rnd.choice(["a", "B", "b", "cd", "é", "7", "8", "x, y"]) for _ in range(rnd.randint(1, 12)))
+    cut = lambda t: [x for x in re.findall(r"[a-zA-Z0-9é]+|[^a-zA-Z0-9é]+", t) if x != " "]
+    trusted, asked = [made() for _ in range(60)], [*[made() for _ in range(30)], "new a", "a new", " ", " a", "new", "a  b"]
+    texts = frame(spark, [(t,) for t in trusted], "text string")
+    losses = quality.train(texts)
+    values, unseen = quality.word_values(quality.word_counts(texts))
+    assert unseen > 0
+    grams = {3: Counter()}
+    for t in trusted:
+        t = ["<s>", "<s>", *cut(t)]
+        grams[3].update(zip(t, t[1:], t[2:]))
+    for n in (2, 1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    cuts = {n: quality.discounts(Counter(grams[n].values())) for n in grams}
+    off = lambda n, c: cuts[n][min(c, 3) - 1]
+
+    def p(gram):
+        n = len(gram)
+        own = [c for g, c in grams[n].items() if g[:-1] == gram[:-1]]
+        c = grams[n].get(gram, 0)
+        if n == 1:
+            return (c - off(1, c)) / sum(own) if c else None
+        less = p(gram[1:])
+        if not own or less is None:
+            return less if not own else None
+        return (c - off(n, c) if c else 0) / sum(own) + sum(off(n, x) for x in own) / sum(own) * less
+
+    rows = [*enumerate(asked), (0, asked[0]), (70, None)]
+    got = quality.log_losses(frame(spark, [(i, t, "en") for i, t in rows], "doc_id long, text string, lang string"), losses, values, unseen).collect()
+    assert len(got) == len(rows)
+    for i, t in rows[:30]:
+        w = ["<s>", "<s>", *cut(t)]
+        want = -sum(np.log(p(g)) for g in zip(w, w[1:], w[2:]))
+        assert all(r["loss"] == pytest.approx(want, abs=1e-4) for r in got if r["doc_id"] == i)
+
+
+def test_word_order_is_seen(spark):
+    rnd = random.Random(22)
+    # All words begin and end alike, so four characters show nothing of their order.
+    nouns, verbs = [f"xxx{x}xxx" for x in "abcdefgh"], [f"xxx{x}xxx" for x in "ijklmnop"]
+    sentence = lambda: ["xxxqxxx", rnd.choice(nouns), rnd.choice(verbs), "xxxrxxx", rnd.choice(nouns)]
+    rows, labels = [], []
+    for i in range(300):
+        t = [w for _ in range(8) for w in sentence()]
+        if i >= 250:
+            rnd.shuffle(t)
+        else:
+            labels.append((i, 1))
+        rows.append((i, " ".join(t), "en"))
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(frame(spark, rows, "doc_id long, text string, lang string"), frame(spark, labels, "doc_id long, quality int")).collect()}
+    assert sum(got[i] for i in range(250)) >= 240 and not any(got[i] for i in range(250, 300))
+
+
 def test_junk_is_told_from_text(spark):
     rnd = random.Random(13)
     rows, labels = [], []
