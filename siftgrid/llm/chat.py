@@ -16,7 +16,8 @@ Rows of a transcript are cut into blocks of ``BLOCK_ROWS``, so that no task
 holds a whole transcript.  For transcripts of several blocks the best path is
 still exact: each block gives its 6 x 6 table of best scores from state to
 state, the small tables are chained per transcript, and each block is then
-decoded between its fixed end states.
+decoded between its fixed end states.  The pieces of a turn that block bounds
+cut are joined again, and turns are numbered through the whole transcript.
 
 Defined results: rows of a null transcript id are dropped; null texts are
 empty rows and give no line, so a transcript of them gives no turn; rows of
@@ -33,12 +34,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import checkpoint, lean
 
 ROLES = ("system", "user", "assistant")
 BLOCK_ROWS = 512
+#: Ids of transcripts of several blocks are broadcast up to this number (8 bytes each), else joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 #: How often the first line of a turn has its marker, none, or another role's.
 MARKER_RIGHT, MARKER_NONE, MARKER_OTHER = 0.80, 0.18, 0.01
 #: How often a further line looks like a marker all the same.
@@ -183,14 +187,16 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tup
 def parse(transcripts: DataFrame, model: Model, key: str = "conv_id", order: str = "turn", text: str = "text", block_rows: int | None = None) -> DataFrame:
     """``conv_id, block, turn, role, text, continued`` - one row per recovered turn.
 
-    ``turn`` counts within the block.  A turn that goes on from the block
-    before has ``continued`` set; its text is the further lines only.
+    ``turn`` counts within the transcript; ``block`` is the one in which the
+    turn begins.  Turns are whole, so ``continued`` is never set.
     """
     size = block_rows or BLOCK_ROWS
     held = transcripts.sparkSession.sparkContext.broadcast(model)
     rows = transcripts.select(F.col(key).cast("long").alias("conv_id"), F.col(order).cast("long").alias("seq"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("conv_id is not null")
     rows = rows.select("conv_id", F.floor(F.coalesce("seq", F.lit(0)) / size).cast("long").alias("block"), "seq", "text")
-    long = rows.where("block <> 0 and text <> ''").select("conv_id").distinct()
+    long = checkpoint(rows.where("block <> 0 and text <> ''").select("conv_id").distinct())
+    n_long = long.count()
+    long = F.broadcast(long) if n_long <= MAX_BROADCAST_IDS else long
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, block), group in _groups(batches, 2):
@@ -216,7 +222,8 @@ def parse(transcripts: DataFrame, model: Model, key: str = "conv_id", order: str
         return frame.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", *more, "seq", "text")
 
     fixed = dealt(rows.join(long, "conv_id", "left_semi")).mapInArrow(lean(tables), "conv_id long, block long, one array<double>, best array<double>").select("conv_id", "block", "best").groupBy("conv_id").applyInPandas(ends, "conv_id long, block long, entry int, leave int")
-    joined = rows.join(fixed, ["conv_id", "block"], "left").select("conv_id", "block", "entry", "leave", "seq", "text")
+    short = (rows.join(long, "conv_id", "left_anti") if n_long else rows).select("conv_id", "block", F.lit(None).cast("int").alias("entry"), F.lit(None).cast("int").alias("leave"), "seq", "text")
+    cut = rows.join(long, "conv_id", "left_semi").join(fixed, ["conv_id", "block"]).select("conv_id", "block", "entry", "leave", "seq", "text")
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -225,14 +232,31 @@ def parse(transcripts: DataFrame, model: Model, key: str = "conv_id", order: str
             path = best_path(held.value, seen, None if entry is None or entry < 0 else entry, leave)
             cuts = [i for i, s in enumerate(path) if s % 2 == 0 or i == 0] + [len(path)]
             for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                out.append((conv, block, n, ROLES[path[a] // 2], "\n".join(x for x in lines[a:b] if x is not None), path[a] % 2 == 1))
+                out.append((conv, block, n, ROLES[path[a] // 2], "\n".join(kept) if (kept := [x for x in lines[a:b] if x is not None]) else None, path[a] % 2 == 1))
             if len(out) >= 2000:
                 yield _turn_batch(out)
                 out = []
         if out:
             yield _turn_batch(out)
 
-    return dealt(joined, "entry", "leave").mapInArrow(lean(turns), "conv_id long, block long, turn long, role string, text string, continued boolean")
+    kinds = "conv_id long, block long, turn long, role string, text string, continued boolean"
+    found = dealt(short, "entry", "leave").mapInArrow(lean(turns), kinds)
+    if n_long:
+        found = found.unionByName(_whole(checkpoint(dealt(cut, "entry", "leave").mapInArrow(lean(turns), kinds))))
+    return found.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def _whole(pieces: DataFrame) -> DataFrame:
+    """Whole turns from those of each block; only turns that a bound cuts are gathered."""
+    along = W.partitionBy("conv_id").orderBy("block")
+    per = pieces.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.max(F.col("continued").cast("long")).alias("leads"))
+    before = F.coalesce(F.sum(F.col("n") - F.col("leads")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("conv_id", "block", "n", "leads", before.alias("before"), F.coalesce(F.lead("leads").over(along), F.lit(0)).alias("follows"))
+    is_cut = F.col("continued") | ((F.col("turn") == F.col("n") - 1) & (F.col("follows") == 1))
+    rows = pieces.join(per, ["conv_id", "block"]).select("conv_id", "block", (F.col("before") + F.col("turn") - F.col("leads")).alias("turn"), "role", "text", is_cut.alias("is_cut"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda s: s["text"])
+    joined = rows.where("is_cut").groupBy("conv_id", "turn").agg(F.min("block").alias("block"), F.min_by("role", "block").alias("role"), F.array_join(parts, "\n").alias("text"))
+    return rows.where("not is_cut").drop("is_cut").unionByName(joined).withColumn("continued", F.lit(False))
 
 
 def _turn_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -241,13 +265,8 @@ def _turn_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def rendered(turns: DataFrame) -> DataFrame:
-    """Recovered turns with their canonical rendering.
-
-    A turn that was cut by a block bound is rendered in pieces, the later ones
-    without a head.
-    """
-    head = F.when(F.col("continued"), F.lit("")).otherwise(F.concat(F.lit("<|"), "role", F.lit("|>\n")))
-    return turns.withColumn("rendered", F.concat(head, "text", F.lit("\n<|end|>")))
+    """Recovered turns with their canonical rendering."""
+    return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>")))
 
 
 #: Marker styles in which :func:`as_transcripts` writes conversations out.

@@ -319,6 +319,17 @@ def test_blocks_give_the_same_path(spark, talks):
     assert out == whole
 
 
+def test_blocks_give_the_same_rendering(spark, talks):
+    model, raw = chat.fit(talks), chat.as_transcripts(talks).withColumn("turn", F.col("turn") * 5)
+    # Rows of single lines, so that bounds cut turns, some of them several times.
+    lines = raw.select("conv_id", F.posexplode(F.split("text", "\n")).alias("at", "text"), "turn").select("conv_id", (F.col("turn") + F.col("at")).alias("turn"), "text")
+    shown = lambda frame: sorted((r["conv_id"], r["turn"], r["role"], r["text"], r["rendered"]) for r in chat.rendered(frame).collect())
+    whole = shown(chat.parse(lines, model))
+    assert all(r[4] == chat.render(r[2], r[3]) for r in whole)
+    for size in (1, 2, 7):
+        assert shown(chat.parse(lines, model, block_rows=size)) == whole
+
+
 def test_viterbi_is_the_best_path():
     rnd = np.random.default_rng(2)
     model = chat.Model(rnd.normal(size=6), rnd.normal(size=(6, 6)), None)
