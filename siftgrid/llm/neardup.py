@@ -8,8 +8,11 @@ the corpus.  Document frequencies are counted over all documents in
 
 1. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per
    text; two texts agree in one with a probability equal to their weighted
-   Jaccard similarity.  ``ROWS`` samples make a band.  At similarity 0.8 a
-   pair of texts shares no band with probability 8e-5, and none is lost later.
+   Jaccard similarity.  ``ROWS`` samples make a band.  ``BY_WEIGHT`` bands
+   are drawn by these weights and ``BY_COUNT`` by occurrences alone, as either
+   similarity makes a link.  Weights lie between 1 and 2, so a pair with 0.8 by
+   one has 2/3 at least by the other; it shares no band with probability 6e-5
+   at most, and none is lost later.
 2. Equal texts are one node.  In every band bucket each node is compared with
    the least one (so candidates grow linearly); a pair is linked if its
    weighted Jaccard similarity, computed from whole texts, is ``SIMILARITY``
@@ -43,7 +46,10 @@ from .common import LOWER, blocks, checkpoint, id_and_text, lean, lean_group, mi
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 18, 4
+#: Bands drawn by weight and by occurrences.  A pair of similarity 0.8 by one of them has at least
+#: 0.8 / (0.8 + 2 * 0.2) = 2/3 by the other; (1 - 0.8**4)**13 * (1 - (2/3)**4)**13 = 6e-5 of such pairs share no band.
+BY_WEIGHT, BY_COUNT, ROWS = 13, 13, 4
+BANDS = BY_WEIGHT + BY_COUNT
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 CELL_CHUNK = 1 << 16
@@ -145,13 +151,15 @@ def weights_of(h: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray
     return counts.astype(np.float32) * idf[(h & np.uint64(CELLS - 1)).astype(np.int64)]
 
 
-def samples(h: np.ndarray, weights: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Weighted samples, one column per draw, of the rows that begin at ``heads``."""
-    log_w = np.log(weights)
+def samples(h: np.ndarray, weights: np.ndarray, heads: np.ndarray, occurrences: np.ndarray | None = None) -> np.ndarray:
+    """Samples, one column per draw (by weights, then by occurrences if given), of the rows that begin at ``heads``."""
+    log_weights = np.log(weights)
+    log_occurrences = log_weights if occurrences is None else np.log(occurrences.astype(np.float32))
     counts = np.diff(np.append(heads, len(h)))
     segment = np.repeat(np.arange(len(heads)), counts)
     out = np.empty((len(heads), len(_SEEDS)), dtype=np.uint64)
     for k, seed in enumerate(_SEEDS):
+        log_w = log_weights if k < BY_WEIGHT * ROWS else log_occurrences
         z = h * seed
         z ^= z >> np.uint64(32)
         z *= _ODD
@@ -190,7 +198,7 @@ def signatures(frame: DataFrame, idf) -> DataFrame:
                 h, counts, row = shingles(part, offs)
                 if len(h):
                     heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                    for r, k in zip((i + row[heads]).tolist(), bands(samples(h, weights_of(h, counts, idf.value), heads)).view(np.int64)):
+                    for r, k in zip((i + row[heads]).tolist(), bands(samples(h, weights_of(h, counts, idf.value), heads, counts)).view(np.int64)):
                         keys[r] = k
             body = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "body", "keys"])

@@ -285,6 +285,23 @@ def test_search_with_few_or_no_rows(spark):
     assert topk.search(frame(spark, [(0, [1.0]), (1, [2.0])], kind), F.col("vec_id") == 0).count() == 1
 
 
+def test_plainly_alike_pairs_share_a_band():
+    # 80 popular shingles shared, 10 rare ones on either side: 0.8 by occurrences, 2/3 by weight.
+    rnd, lost = np.random.default_rng(31), 0
+    for _ in range(20):
+        sets, weights = [], []
+        for _ in range(100):
+            h = rnd.integers(0, 1 << 63, 100, dtype=np.uint64)
+            for own in (h[80:90], h[90:]):
+                both, w = np.concatenate([h[:80], own]), np.repeat(np.float32([1, 2]), [80, 10])
+                order = np.argsort(both)
+                sets.append(both[order])
+                weights.append(w[order])
+        keys = neardup.bands(neardup.samples(np.concatenate(sets), np.concatenate(weights), np.arange(0, 200 * 90, 90), np.ones(200 * 90, np.int64)))
+        lost += int((~(keys[::2] == keys[1::2]).any(axis=1)).sum())
+    assert lost <= 3  # of 2000; 0.12 are expected
+
+
 # ---- 5 chat ----------------------------------------------------------------
 
 
