@@ -9,8 +9,14 @@ merging, and backs up one token when no prefix is left.  Neighbour checks are
 memoised, every position is given up at most once, so the time is linear in
 the piece.  The result equals merging by rank.
 
+What a worker remembers is bounded by bytes: two generations of pieces and of
+neighbour checks are kept, the older one goes when the younger is full, and
+what is used again moves to the younger one.
+
 Defined results: a null text is an empty text (no tokens, empty decoding);
-repeated rows give repeated results; an empty table gives an empty table.
+repeated rows give repeated results; an empty table gives an empty table; a
+very long text or piece is encoded whole, in memory linear in its bytes, and is
+not remembered; further columns of ``docs``, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,9 +35,10 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, lean
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED_PIECES = 250_000
-MAX_REMEMBERED_BYTES = 64
+#: Bytes of remembered pieces per generation (about ``PIECE_OVERHEAD`` besides text and ids), and the longest piece.
+REMEMBERED_BYTES, PIECE_OVERHEAD, MAX_REMEMBERED_BYTES = 24 << 20, 190, 64
+#: Neighbour checks that a worker remembers per generation.
+REMEMBERED_PAIRS = 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +76,9 @@ class PieceEncoder:
                 if other in self.parts:
                     self.shorter[rank] = other
                     break
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Answers by ``left << 32 | right``, and those of the generation before.
+        self.pairs: dict[int, bool] = {}
+        self.older: dict[int, bool] = {}
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two entries that merging joins last to form this one."""
@@ -94,17 +103,25 @@ class PieceEncoder:
         broken if at some step the inner neighbours would have joined before
         the merge that is being undone.
         """
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is not None:
             return known
+        known = self.older.get(pair)
+        if known is None:
+            known = self._check(left, right)
+        if len(self.pairs) >= REMEMBERED_PAIRS:
+            self.older, self.pairs = self.pairs, {}
+        self.pairs[pair] = known
+        return known
+
+    def _check(self, left: int, right: int) -> bool:
         a, b = left, right
         limit = len(self.bytes_of) + (1 << 30)
-        result = True
         while True:
             joined = self.whole.get((a, b))
             if joined is not None and joined < limit:
-                result = False
-                break
+                return False
             a_inner, b_inner = self.parts[a][1], self.parts[b][0]
             if a > b:
                 if a_inner != a:
@@ -112,17 +129,13 @@ class PieceEncoder:
                 elif b_inner != b:
                     limit, b = b + 1, b_inner
                 else:
-                    break
+                    return True
             elif b_inner != b:
                 limit, b = b + 1, b_inner
             elif a_inner != a:
                 limit, a = a, a_inner
             else:
-                break
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
-        self.pairs[(left, right)] = result
-        return result
+                return True
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -166,14 +179,21 @@ class TextEncoder(dict):
         self.cut = regex.compile(pattern).findall
         size = max(ranks.values()) + 1
         self.bytes_of = [self.pieces.bytes_of.get(i, b"") for i in range(size)]
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8")
-        packed = np.array(self.pieces.encode(raw), dtype="<u4").tobytes()
-        if len(raw) <= MAX_REMEMBERED_BYTES:
-            if len(self) >= REMEMBERED_PIECES:
-                self.clear()
-            self[piece] = packed
+        packed = self.older.get(piece)
+        if packed is None:
+            raw = piece.encode("utf-8")
+            packed = np.array(self.pieces.encode(raw), dtype="<u4").tobytes()
+            if len(raw) > MAX_REMEMBERED_BYTES:
+                return packed
+        self.held += PIECE_OVERHEAD + len(piece) + len(packed)
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[piece] = packed
         return packed
 
     def packed(self, text: str) -> bytes:
@@ -193,16 +213,18 @@ def worker_encoder(name: str, ranks: dict[bytes, int], pattern: str) -> TextEnco
     return _WORKER[(name, pattern)]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, digest: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, digests: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for every row of ``docs``.
 
-    With ``digest`` the ids and the decoded text are replaced by their SHA-256
-    (``ids_sha256``, ``decoded_sha256``), computed from the same two values, so
-    that only fixed-size columns leave the executors.  The vocabulary (about
-    1 MB, fixed) is read once by the driver and broadcast.
+    What ``digests`` names (``ids``, ``decoded``) is given by its SHA-256 instead
+    (``ids_sha256``, ``decoded_sha256``), taken from the same values in the
+    worker, so that the text does not travel back only to be hashed.  The
+    vocabulary (about 1 MB, fixed) is read once by the driver and broadcast.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     name = vocabulary
+    short_ids, short_text = "ids" in digests, "decoded" in digests
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()) if short_ids else ("ids", pa.list_(pa.int32())), ("decoded_sha256" if short_text else "decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(name, ranks.value, pattern)
@@ -212,15 +234,9 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
                 packed = encoder.packed(text.as_py() or "")
                 decoded = encoder.decode(packed)
                 counts.append(len(packed) >> 2)
-                if digest:
-                    first.append(hashlib.sha256(packed).hexdigest())
-                    second.append(hashlib.sha256(decoded).hexdigest())
-                else:
-                    first.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
-                    second.append(decoded.decode("utf-8"))
-            kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.string())
-            names = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], ["doc_id", "n_tokens", *names])
-
-    columns = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return id_and_text(docs).mapInArrow(lean(run), f"doc_id long, n_tokens long, {columns}")
+                first.append(hashlib.sha256(packed).hexdigest() if short_ids else np.frombuffer(packed, dtype="<u4").astype(np.int32))
+                second.append(hashlib.sha256(decoded).hexdigest() if short_text else decoded.decode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((counts, first, second), list(schema)[1:]))], schema=schema)
+
+    kinds = ["doc_id long", "n_tokens long", "ids_sha256 string" if short_ids else "ids array<int>", f"{schema.names[3]} string"]
+    return id_and_text(docs).mapInArrow(lean(run), ", ".join(kinds))

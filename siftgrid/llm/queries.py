@@ -36,7 +36,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), digest=True)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), digests=("ids", "decoded"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

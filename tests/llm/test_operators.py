@@ -376,7 +376,7 @@ def test_bpe_equals_tiktoken(spark):
     rows = [(i, "".join(rnd.choice(["the", "é", "𝔘", " ", "\n", "\x85", "'s", "123", "Ж", "ing", "!", "　"]) for _ in range(rnd.randint(0, 50)))) for i in range(200)]
     rows += [(900, None), (901, ""), (902, "a" * 5000), (903, "ab" * 3000), (904, "é" * 2000), (905, " " * 3000 + "x"), (None, "no id")]
     got = {r["doc_id"]: r for r in bpe.encode_documents(frame(spark, rows)).collect()}
-    short = {r["doc_id"]: r for r in bpe.encode_documents(frame(spark, rows), digest=True).collect()}
+    short = {r["doc_id"]: r for r in bpe.encode_documents(frame(spark, rows), digests=("ids", "decoded")).collect()}
     for i, t in rows:
         ids = encoding.encode_ordinary(t or "")
         assert got[i]["ids"] == ids and got[i]["decoded"] == (t or "") and got[i]["n_tokens"] == len(ids)
