@@ -8,7 +8,6 @@ all rows that their predecessor kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siftgrid.llm import bpe, decontaminate, neardup, pii, toxicity
 from siftgrid.llm.common import checkpoint, table
@@ -36,8 +35,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and a digest of what they decode to."""
-    coded = bpe.encode_documents(docs)
-    return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.encode_documents(docs, digests=("decoded",))
 
 
 STAGES = [
