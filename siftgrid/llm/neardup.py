@@ -1,10 +1,14 @@
 """Near-duplicate classes by consistent weighted sampling (operator 1).
 
 A text is its multiset of ``SHINGLE``-word shingles, weighted by TF-IDF:
-occurrences times ``1 + ln((N+1)/(df+1)) / ln(N+1)``, an inverse document
-frequency scaled to lie between 1 and 2 so that its spread does not grow with
-the corpus.  Document frequencies are counted over all documents in
-``CELLS`` hash cells.
+occurrences times ``1 + min(1, ln((N+1)/(df+1)) / ln(1/share))``, an inverse
+document frequency that runs from 1 (in every text) to 2 (in ``share`` of the
+texts or fewer).  It depends on the share of documents only, so it looks alike
+at every size of the corpus.  Frequencies are exact: shingles are first counted
+in ``CELLS`` hash cells, and those of cells that reach ``share`` are then counted
+one by one.  With S distinct shingles per document on average at most
+S / ``share`` shingles are that common, and ``share`` is never under
+S / ``COMMON``, so the table that is broadcast has ``COMMON`` rows at most.
 
 1. Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per
    text; two texts agree in one with a probability equal to their weighted
@@ -14,19 +18,23 @@ the corpus.  Document frequencies are counted over all documents in
    one has 2/3 at least by the other; it shares no band with probability 6e-5
    at most, and none is lost later.
 2. Equal texts are one node.  In every band bucket each node is compared with
-   the least one (so candidates grow linearly); a pair is linked if its
-   weighted Jaccard similarity, computed from whole texts, is ``SIMILARITY``
-   or more - with the weights above, or with occurrences alone, so that the
-   many copies of one text, whose common shingles weigh little, are not lost.
-   Very popular least nodes are spread over several groups.
-3. Buckets whose nodes still lie in different components are compared pair by
-   pair across components, in blocks of at most ``BLOCK_NODES`` nodes.
-4. Components by alternating large-star and small-star steps; the class id is
-   the least document id.
+   the least one (so candidates grow linearly): first with the least of all its
+   buckets, then with those that are still in another component.  A pair is
+   linked if its weighted Jaccard similarity, computed from whole texts, is
+   ``SIMILARITY`` or more - with the weights above, or with occurrences alone,
+   so that the many copies of one text, whose common shingles weigh little, are
+   not lost.  Very popular least nodes are spread over several groups.
+3. Buckets whose nodes still lie in different components are compared across
+   components, in blocks of about ``BLOCK_NODES`` nodes.  A component with more
+   nodes in a bucket has blocks of its own, which never meet each other.
+4. Components by alternating large-star and small-star steps until nothing
+   changes; the class id is the least document id.
 
 Defined results: texts without words (null ones too) form classes by equal
 text; rows of a null id have a null class; rows that share an id are one node,
-so their texts' classes are joined; repeated rows are equal texts.
+so their texts' classes are joined; repeated rows are equal texts; an empty
+table gives an empty table; very long texts are shingled whole, a row at a
+time; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, blocks, checkpoint, id_and_text, lean, lean_group, mix64, prefix_hash, span_hash, text_buffers, word_spans
@@ -53,6 +61,8 @@ BANDS = BY_WEIGHT + BY_COUNT
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 CELL_CHUNK = 1 << 16
+#: A shingle is common from this share of the documents on; and the most shingles that may be common.
+SHARE, COMMON = 1 / 1000, 500_000
 #: Members per group of a popular node, and nodes of a block in the pairwise step.
 MEMBERS, BLOCK_NODES = 256, 256
 #: Rows of (id, group) that are broadcast to pick texts for verification; beyond, a shuffle join.
@@ -114,8 +124,8 @@ def shingles(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[new], np.diff(np.append(new, len(h))), row[new]
 
 
-def document_frequencies(frame: DataFrame) -> np.ndarray:
-    """Documents per hash cell, summed over all documents in two steps."""
+def cell_counts(frame: DataFrame) -> np.ndarray:
+    """Distinct shingles of all documents per hash cell, summed in two steps."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.int64)
@@ -142,13 +152,53 @@ def document_frequencies(frame: DataFrame) -> np.ndarray:
     return out
 
 
-def idf_table(frequencies: np.ndarray, documents: int) -> np.ndarray:
-    scale = np.log(documents + 1) or 1.0
-    return (1 + np.maximum(0, np.log((documents + 1) / (np.minimum(frequencies, documents) + 1))) / scale).astype(np.float32)
+@dataclass(frozen=True)
+class Idf:
+    """Weights of common shingles, sorted by hash; all others weigh 2."""
+
+    cells: np.ndarray
+    hashes: np.ndarray
+    weights: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), 2, dtype=np.float32)
+        maybe = np.flatnonzero(self.cells[(h & np.uint64(CELLS - 1)).astype(np.int64)])
+        if len(maybe) and len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+            same = self.hashes[at] == h[maybe]
+            out[maybe[same]] = self.weights[at[same]]
+        return out
+
+
+def idf_weights(frequencies: np.ndarray, documents: int, share: float) -> np.ndarray:
+    return (1 + np.clip(np.log((documents + 1) / (frequencies + 1)) / np.log(1 / share), 0, 1)).astype(np.float32)
+
+
+def inverse_frequencies(frame: DataFrame) -> Idf:
+    """Exact inverse document frequencies of all shingles that are common."""
+    documents = frame.count()
+    counted = cell_counts(frame)
+    share = max(SHARE, counted.sum() / max(1, documents) / COMMON)
+    least = share * (documents + 1) - 1
+    open_cells = counted >= max(1, least)
+    held = frame.sparkSession.sparkContext.broadcast(open_cells)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for _, _, part, offs in blocks(data, offsets):
+                h, _, _ = shingles(part, offs)
+                found, n = np.unique(h[held.value[(h & np.uint64(CELLS - 1)).astype(np.int64)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    found = frame.select("text").mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= float(least)).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return Idf(open_cells, h[order], idf_weights(n[order], documents, share))
 
 
-def weights_of(h: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts.astype(np.float32) * idf[(h & np.uint64(CELLS - 1)).astype(np.int64)]
+def weights_of(h: np.ndarray, counts: np.ndarray, idf: Idf) -> np.ndarray:
+    return counts.astype(np.float32) * idf.of(h)
 
 
 def samples(h: np.ndarray, weights: np.ndarray, heads: np.ndarray, occurrences: np.ndarray | None = None) -> np.ndarray:
@@ -281,10 +331,15 @@ def _by_size(wanted: DataFrame) -> tuple[DataFrame, bool]:
     return wanted, wanted.count() <= MAX_BROADCAST_ROWS
 
 
-def link_to_least(frame: DataFrame, members: DataFrame, idf) -> DataFrame:
-    """Compare each node of a bucket with its least node; verified links ``a < b``."""
+def star_pairs(members: DataFrame) -> DataFrame:
+    """``node, least``: each node with the least node of each of its buckets."""
     least = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    pairs = checkpoint(members.join(least, "key").where("node <> least").select("node", "least").distinct())
+    return members.join(least, "key").where("node <> least").select("node", "least").distinct()
+
+
+def link_to_least(frame: DataFrame, pairs: DataFrame, idf) -> DataFrame:
+    """Compare the nodes of each pair ``node, least``; verified links ``a < b``."""
+    pairs = checkpoint(pairs)
     # Only popular least nodes need several groups; there is one for MEMBERS pairs at most.
     popular = checkpoint(pairs.groupBy("least").agg(F.ceil(F.count("*") / MEMBERS).alias("shares")).where("shares > 1"))
     groups = max(LEAST_GROUPS, pairs.count() // MEMBERS)
@@ -308,14 +363,28 @@ def link_to_least(frame: DataFrame, members: DataFrame, idf) -> DataFrame:
 
 
 def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) -> DataFrame:
-    """Compare all pairs of different components in buckets that hold several."""
+    """Compare the nodes of different components in buckets that hold several."""
     named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).where("lo < hi")
     # Buckets of equal nodes are compared once.
-    open_ = open_.groupBy("n", "mark").agg(F.min("key").alias("key"))
-    rows = named.join(open_, "key").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK_NODES)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
-    # A node meets every block: pairs of blocks (own, other) with the smaller number first.
-    rows = checkpoint(rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).select("node", "label", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tag")))
+    open_, few = _by_size(open_.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key"))
+    rows = named.join(F.broadcast(open_) if few else open_, "key")
+    per, _ = _by_size(rows.groupBy("key", "label").agg(F.count("*").alias("m")))
+    is_big = F.col("m") > BLOCK_NODES
+    shares = F.ceil(F.col("m") / BLOCK_NODES)
+    big, few_big = _by_size(per.where(is_big).select("key", "label", shares.alias("shares")))
+    layout, few_keys = _by_size(per.groupBy("key").agg(F.coalesce(F.ceil(F.sum(F.when(~is_big, F.col("m"))) / BLOCK_NODES), F.lit(0)).alias("small"), F.collect_list(F.when(is_big, F.struct("label", shares.alias("n")))).alias("bigs")))
+    rows = rows.join(F.broadcast(big) if few_big else big, ["key", "label"], "left").join(F.broadcast(layout) if few_keys else layout, "key")
+
+    def places(n: Column, block) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), block)).otherwise(F.array().cast("array<long>"))
+
+    small = lambda i: F.xxhash64(F.lit(-1), i.cast("long"))
+    own = F.when(F.col("shares").isNull(), small(F.pmod(F.xxhash64("label"), F.greatest("small", F.lit(1))))).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("shares")).cast("long")))
+    # A node meets the blocks of small components and those of all big ones but its own.
+    foreign = F.flatten(F.transform(F.filter("bigs", lambda x: x["label"] != F.col("label")), lambda x: places(x["n"], lambda i: F.xxhash64(x["label"], i.cast("long")))))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.concat(foreign, places(F.col("small"), small))))
+    rows = checkpoint(rows.select("node", "label", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tag")))
     groups = max(LEAST_GROUPS, rows.count() // MEMBERS)
     place = rows.select("node", F.pmod(F.xxhash64("tag"), F.lit(groups)).alias("g"), "tag")
 
@@ -355,11 +424,11 @@ def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) ->
 # ---- components ------------------------------------------------------------
 
 
-def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, label``: the least node of each component, for nodes that have links."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
-    for _ in range(max_steps):
+    while True:
         # Large star: larger neighbours of u go to the least of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -383,20 +452,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, kept`` per row; ``kept`` marks the row whose id names the class."""
     frame = id_and_text(docs)
     context = frame.sparkSession.sparkContext
-    frequencies = document_frequencies(frame)
-    idf = context.broadcast(idf_table(frequencies, frame.count()))
+    idf = context.broadcast(inverse_frequencies(frame))
     signed = checkpoint(signatures(frame.where("doc_id is not null"), idf))
     bodies = signed.groupBy("body").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.min("keys").alias("keys"))
     members = checkpoint(bodies.select("node", F.explode("keys").alias("key")).distinct())
     # Rows that share an id but not a text tie their texts together.
     ties = signed.select("doc_id", "body").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     tied = signed.join(ties, "doc_id", "left_semi").join(bodies.select("body", "node"), "body").where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = checkpoint(link_to_least(frame, members, idf).unionByName(tied))
-    labels = checkpoint(components(first))
+    pairs = checkpoint(star_pairs(members))
+    first = pairs.groupBy("node").agg(F.min("least").alias("least"))
+    labels = checkpoint(components(link_to_least(frame, first, idf).unionByName(tied)))
+
+    def linked_with(more: DataFrame) -> DataFrame:
+        stars = labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        return checkpoint(components(stars.unionByName(more)))
+
+    # Pairs of the first round that failed are not tried again.
+    name = {c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("node", "least")}
+    apart = pairs.join(first, ["node", "least"], "left_anti").join(name["node"], "node", "left").join(name["least"], "least", "left")
+    apart = checkpoint(apart.where(F.coalesce("node_label", "node") != F.coalesce("least_label", "least")).select("node", "least"))
+    if not apart.isEmpty():
+        labels = linked_with(link_to_least(frame, apart, idf))
     rest = checkpoint(link_across(frame, members, labels, idf))
     if not rest.isEmpty():
-        stars = labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-        labels = checkpoint(components(stars.unionByName(rest)))
+        labels = linked_with(rest)
     classes = bodies.select("body", "node").join(labels, "node", "left").select("body", F.coalesce("label", "node").alias("class_id"))
     found = signed.select("doc_id", "body").join(classes, "body").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     missing = frame.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
@@ -404,12 +483,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each class, columns unchanged; rows of a null id stay."""
+    """One row of each class, columns unchanged; rows of a null id stay.
+
+    Of several rows with the id that names a class the one with the least text stays.
+    """
     classes = checkpoint(near_duplicates(docs))
     gone = classes.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     few = gone.count() <= MAX_BROADCAST_ROWS
     left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
     kept = classes.where("kept and doc_id is not null")
     if kept.count() != kept.distinct().count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+        one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*left.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+        left = one.select(*left.columns).unionByName(left.where("doc_id is null"))
     return left

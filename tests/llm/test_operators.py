@@ -90,7 +90,7 @@ def brute_classes(rows):
     df = Counter(g for c in counts.values() for g in c)
     n = len(rows) + 1
     plain = counts
-    sets = {i: {g: k * (1 + math.log(n / (df[g] + 1)) / math.log(n)) for g, k in c.items()} for i, c in counts.items()}
+    sets = {i: {g: k * (1 + min(1, math.log(n / (df[g] + 1)) / math.log(1000))) for g, k in c.items()} for i, c in counts.items()}
 
     def reaches(x, y):
         both = sum(min(v, y[g]) for g, v in x.items() if g in y)
@@ -122,7 +122,7 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_residual_pairs_find_what_the_least_node_misses(spark):
     rows = list({t: (i, t) for i, t in reversed(near_copies(random.Random(9))) if t and i < 1000}.values())
     docs = common.id_and_text(frame(spark, rows))
-    idf = spark.sparkContext.broadcast(neardup.idf_table(neardup.document_frequencies(docs), len(rows)))
+    idf = spark.sparkContext.broadcast(neardup.inverse_frequencies(docs))
     bodies = neardup.signatures(docs, idf).groupBy("body").agg(F.min("doc_id").alias("node"), F.min("keys").alias("keys"))
     members = common.checkpoint(bodies.select("node", F.explode("keys").alias("key")).distinct())
     none = spark.createDataFrame([], "node long, label long")
@@ -142,15 +142,34 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_samples_agree_as_often_as_texts_are_alike():
+    # Every draw of every pair is one trial: 300 pairs x 104 draws, so the share is known to about 0.01.
     rnd = np.random.default_rng(3)
-    h = np.sort(rnd.integers(0, 1 << 63, 300).astype(np.uint64))
-    agree = []
-    for shared in (200, 260):
-        a, b = h[:shared + 20], np.concatenate([h[:shared], h[-20:]])
-        wa, wb = np.ones(len(a), np.float32) * 2, np.ones(len(b), np.float32) * 2
-        one, two = neardup.samples(a, wa, np.array([0])), neardup.samples(np.sort(b), wb, np.array([0]))
-        agree.append(((one == two).mean(), shared / (shared + 40)))
-    assert all(abs(x - y) < 0.2 for x, y in agree)
+    for shared, w_own in ((80, 2.0), (60, 1.0), (90, 1.5)):
+        agree, total = 0, 0
+        for _ in range(300):
+            h = rnd.integers(0, 1 << 63, shared + 20).astype(np.uint64)
+            weight = {int(x): 1.0 + (i % 3) / 2 if i < shared else w_own for i, x in enumerate(h)}
+            a, b = np.sort(h[: shared + 10]), np.sort(np.concatenate([h[:shared], h[shared + 10 :]]))
+            wa, wb = (np.array([weight[int(x)] for x in v], np.float32) for v in (a, b))
+            one, two = neardup.samples(a, wa, np.array([0])), neardup.samples(b, wb, np.array([0]))
+            agree += int((one == two).sum())
+            total += one.size
+        both = sum(1.0 + (i % 3) / 2 for i in range(shared))
+        assert abs(agree / total - both / (both + 20 * w_own)) < 0.015
+
+
+def test_weights_are_exact_and_bounded(spark, monkeypatch):
+    rows = near_copies(random.Random(12))
+    docs = common.id_and_text(frame(spark, rows))
+    texts = {i: [" ".join(w[k : k + 5]) for k in range(len(w) - 4)] for i, t in rows for w in [plain_words(t)] if len(w) >= 5}
+    df = Counter(g for v in texts.values() for g in set(v))
+    gram, n = df.most_common(1)[0]
+    part = np.frombuffer(gram.encode(), np.uint8)
+    h, _, _ = neardup.shingles(part, np.array([0, len(part)]))
+    found = neardup.inverse_frequencies(docs).of(h)[0]
+    assert abs(found - (1 + min(1, math.log((len(rows) + 1) / (n + 1)) / math.log(1000)))) < 1e-5
+    monkeypatch.setattr(neardup, "COMMON", 40)
+    assert len(neardup.inverse_frequencies(docs).hashes) <= 40
 
 
 def test_near_duplicates_of_strange_rows(spark):
