@@ -1,21 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 9).
 
 Words become symbols (insult, threat, target, negation, reported speech or
-other).  Five transducers rewrite the symbols of a clause - insults and threats
-pass, a target beside them raises them, a negation or a reporting verb before
-them lowers them - and their composition, one table over a small product of
-states, scores every clause in one pass.  A text's strength is the sum over
-its clauses; words outside matched clauses don't count.  The score is a
-logistic function of the strength.
+other).  Five transducers rewrite the symbols of a clause: insults that follow
+each other strengthen each other; a target beside a hit raises it; a threat
+passes only with a target near it, before or after (its output is held back
+until the target has been read); a negation or a reporting verb before a hit
+lowers it.  Their composition, one table over a product of states, scores every
+clause that has an insult or a threat in one pass.  A text's strength is the
+sum over its clauses; words outside matched clauses don't count.  The score is
+a logistic function of the strength.
 
 The insult lexicon (whole words, and stems of ``STEM_BYTES`` bytes for
-languages that build words from them) and the logistic curve are fitted on
-labelled rows.  ``MAX_FIT_ROWS`` bounds that sample; near copies, told by their
-least shingle, count once.  Scoring covers every row and whole texts.
+languages that build words from them), the logistic curve and the weight of a
+threat are fitted on labelled rows.  ``MAX_FIT_ROWS`` bounds that sample; near
+copies, told by their least shingle, count once.  Scoring covers every row and
+whole texts.
 
 Defined results: null and empty texts have strength 0; labels of null or
-unknown documents don't matter; without labelled toxic rows nothing is learnt
-and every score is the share of toxic labels; repeated rows repeat results.
+unknown documents don't matter, and of several labels of one document the
+greatest counts; a word that fits several entries takes the heaviest; without
+labelled toxic rows nothing is learnt and every score is low; a score of 0.5 is
+toxic; repeated rows repeat results; an empty table gives an empty table; very
+long texts are read whole; further columns, whatever their names, are not read
+by a score.
 """
 
 from __future__ import annotations
@@ -32,7 +39,6 @@ from pyspark.sql import functions as F
 from .common import LOWER, blocks, hash_bytes, id_and_text, lean, mix64, prefix_hash, span_hash, text_buffers, word_spans
 
 MAX_FIT_ROWS = 30_000
-MAX_LEXICON = 20_000
 STEM_BYTES = (4, 5, 6, 7)
 #: A lexicon entry has at least so many toxic texts, as a number and a share, and so great a lift.
 MIN_TEXTS, MIN_SHARE, MIN_LIFT = 3, 0.003, 12.0
@@ -47,9 +53,9 @@ _SEED_WORDS = {
     NEGATION: "not never no isn aren wasn nicht kein keine nie pas jamais aucun nunca ni",
     REPORT: "said says called wrote quoted claimed sagte nannte dit appelé dijo llamó",
 }
-#: Log-weight of a hit as (plain), and factors that the grammar applies.
+#: Weight of a threat where no labelled row speaks for another one, and factors that the grammar applies.
 THREAT_WEIGHT = 1.0
-TARGETED, NEGATED, REPORTED = 1.2, 0.6, 0.8
+REPEATED, TARGETED, NEGATED, REPORTED = 1.1, 1.2, 0.6, 0.8
 
 
 @dataclass(frozen=True)
@@ -80,30 +86,38 @@ def within(trigger: int, reach: int, factor: float, on: tuple[int, ...]) -> Tran
     rows = []
     for left in range(reach + 1):
         row = [(max(0, left - 1), s, factor if left and s in on else 1.0) for s in SYMBOLS]
-        row[trigger] = (reach, trigger, 1.0)
+        row[trigger] = (reach, *row[trigger][1:])
         rows.append(tuple(row))
     return Transducer(tuple(rows))
 
 
-def demoting(symbol: int, needs: int, reach: int) -> Transducer:
-    """``symbol`` counts only within ``reach`` symbols after ``needs``; else it becomes OTHER."""
+def beside(symbol: int, needs: int, reach: int) -> Transducer:
+    """``symbol`` counts only within ``reach`` symbols of ``needs``, on either side.
+
+    A state is how long ago ``needs`` was and how long ago an unmatched
+    ``symbol`` was.  After ``needs``, ``symbol`` passes; before it, ``symbol``
+    becomes OTHER and is written when ``needs`` comes, in its place.
+    """
+    states = [(a, b) for a in range(reach + 1) for b in range(reach + 1)]
+    number = {state: i for i, state in enumerate(states)}
     rows = []
-    for left in range(reach + 1):
-        row = [(max(0, left - 1), s, 1.0) for s in SYMBOLS]
-        if not left:
-            row[symbol] = (0, OTHER, 1.0)
-        row[needs] = (reach, needs, 1.0)
+    for near, open_ in states:
+        aged = max(0, near - 1), max(0, open_ - 1)
+        row = [(number[aged], s, 1.0) for s in SYMBOLS]
+        row[symbol] = (number[aged], symbol, 1.0) if near else (number[aged[0], reach], OTHER, 1.0)
+        row[needs] = (number[reach, 0], symbol if open_ else needs, 1.0)
         rows.append(tuple(row))
     return Transducer(tuple(rows))
 
 
 HITS = (INSULT, THREAT)
-INSULTS = Transducer((tuple((0, s, 1.0) for s in SYMBOLS),))
-THREATS = demoting(THREAT, TARGET, 5)
+INSULTS = within(INSULT, 3, REPEATED, (INSULT,))
 TARGETS = within(TARGET, 4, TARGETED, HITS)
+THREATS = beside(THREAT, TARGET, 5)
 NEGATIONS = within(NEGATION, 3, NEGATED, HITS)
 REPORTS = within(REPORT, 6, REPORTED, HITS)
-GRAMMAR = INSULTS.then(THREATS).then(TARGETS).then(NEGATIONS).then(REPORTS)
+PARTS = (INSULTS, TARGETS, THREATS, NEGATIONS, REPORTS)
+GRAMMAR = INSULTS.then(TARGETS).then(THREATS).then(NEGATIONS).then(REPORTS)
 
 
 @dataclass
@@ -114,6 +128,7 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -2.0
     slope: float = 1.0
+    threat: float = THREAT_WEIGHT
 
     def score(self, strength: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-(self.bias + self.slope * strength)))
@@ -158,33 +173,37 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.seeds["h"], hashes), len(self.seeds) - 1)
         return np.where(self.seeds["h"][at] == hashes, self.seeds["s"][at], OTHER)
 
-    def strengths(self, part: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def matches(self, part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed weights of insults, and of threats, in the matched clauses of each row."""
         low = LOWER[part]
-        out = np.zeros(len(offsets) - 1)
+        insults, threats = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
         starts, ends, row = word_spans(part, offsets)
         if not len(starts):
-            return out
+            return insults, threats
         weights, whole = self.weights_of(low, starts, ends)
-        hits = np.flatnonzero(weights > 0)
+        symbols = self.symbols(whole)
+        symbols[weights > 0] = INSULT
+        hits = np.flatnonzero((symbols == INSULT) | (symbols == THREAT))
         if not len(hits):
-            return out
+            return insults, threats
         marks = np.flatnonzero((part == 46) | (part == 33) | (part == 63) | (part == 59) | (part == 10))
         # A clause ends with a mark or a row; words of one clause share this number.
         clause = np.searchsorted(marks, starts) + row
+        arcs = GRAMMAR.arcs
         for c in np.unique(clause[hits]):
             lo, hi = np.searchsorted(clause, c), np.searchsorted(clause, c, "right")
-            symbols = self.symbols(whole[lo:hi])
-            own = weights[lo:hi]
-            symbols[own > 0] = INSULT
-            state, total = 0, 0.0
-            for symbol, weight in zip(symbols.tolist(), own.tolist()):
-                state, symbol, factor = GRAMMAR.arcs[state][symbol]
+            state = 0
+            for symbol, weight in zip(symbols[lo:hi].tolist(), weights[lo:hi].tolist()):
+                state, symbol, factor = arcs[state][symbol]
                 if symbol == INSULT:
-                    total += weight * factor
+                    insults[row[lo]] += weight * factor
                 elif symbol == THREAT:
-                    total += THREAT_WEIGHT * factor
-            out[row[lo]] += total
-        return np.minimum(out, MAX_STRENGTH)
+                    threats[row[lo]] += factor
+        return insults, threats
+
+    def strengths(self, part: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        insults, threats = self.matches(part, offsets)
+        return np.minimum(insults + self.model.threat * threats, MAX_STRENGTH)
 
 
 def _labelled_sample(labels: DataFrame, held_out: Column) -> dict[int, int]:
@@ -262,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
 
     counts = "h long, toxic long, clean long"
     need = max(MIN_TEXTS, int(MIN_SHARE * n_toxic))
-    common = frame.mapInArrow(lean(features(toxic, None)), counts).groupBy("h").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= need).orderBy(F.desc("toxic"), "h").limit(MAX_LEXICON).collect()
+    common = frame.mapInArrow(lean(features(toxic, None)), counts).groupBy("h").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= need).collect()
     candidates = np.array([r["h"] for r in common], dtype=np.int64).view(np.uint64)
     model = Model()
     if len(candidates):
@@ -279,25 +298,32 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
         for batch in batches:
             batch = _sampled(batch, some.value)
             marked = np.isin(batch.column(0).to_numpy(zero_copy_only=False), toxic.value)
-            x = np.round(_strengths(batch, scanner.value) * 4).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(marked.astype(np.int64))], ["x", "y"])
+            data, offsets = text_buffers(batch.column(1))
+            for i, j, part, offs in blocks(data, offsets):
+                insults, threats = scanner.value.matches(part, offs)
+                columns = (np.round(np.minimum(insults, MAX_STRENGTH) * 4), np.round(np.minimum(threats, MAX_STRENGTH) * 4), marked[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["x", "t", "y"])
 
-    bins = frame.mapInArrow(lean(curve), "x long, y long").groupBy("x").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
-    model.bias, model.slope = _logistic(*(np.array([r[k] for r in bins], dtype=float) for k in ("x", "y", "n")))
+    bins = frame.mapInArrow(lean(curve), "x long, t long, y long").groupBy("x", "t").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("x", "t").collect()
+    model.bias, model.slope, model.threat = _logistic(*(np.array([r[k] for r in bins], dtype=float) for k in ("x", "t", "y", "n")))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Regularised logistic fit of y positives among n at strength x / 4 (Newton)."""
-    x = x / 4
-    w = np.array([-2.0, 1.0])
-    design = np.stack([np.ones_like(x), x], axis=1)
+def _logistic(x: np.ndarray, t: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Regularised logistic fit of y positives among n at insults x / 4 and threats t / 4 (Newton).
+
+    A threat weighs as much as ``THREAT_WEIGHT`` of insults unless labelled rows with threats say otherwise.
+    """
+    design = np.stack([np.ones_like(x), x / 4, t / 4], axis=1)
+    w = prior = np.array([0.0, 0.0, THREAT_WEIGHT])
+    w = w + np.array([-2.0, 1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (y - n * p) - 0.1 * w
-        hessian = (design.T * (n * p * (1 - p))) @ design + 0.1 * np.eye(2)
+        gradient = design.T @ (y - n * p) - 0.1 * (w - prior)
+        hessian = (design.T * (n * p * (1 - p))) @ design + 0.1 * np.eye(3)
         w = w + np.clip(np.linalg.solve(hessian, gradient), -1, 1)
-    return float(w[0]), float(max(w[1], 0.0))
+    slope = float(max(w[1], 0.0))
+    return float(w[0]), slope, float(max(w[2], 0.0)) / slope if slope else 0.0
 
 
 def _strengths(batch: pa.RecordBatch, scanner: Scanner, column: int = 1) -> np.ndarray:
