@@ -65,6 +65,8 @@ CELL_CHUNK = 1 << 16
 SHARE, COMMON = 1 / 1000, 500_000
 #: Members per group of a popular node, and nodes of a block in the pairwise step.
 MEMBERS, BLOCK_NODES = 256, 256
+#: Shared shingles per product of matrices in the pairwise step.
+COLUMNS = 4_096
 #: Rows of (id, group) that are broadcast to pick texts for verification; beyond, a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
 LEAST_GROUPS = 256
@@ -282,6 +284,43 @@ def alike(a: Shingled, b: Shingled) -> bool:
     return both >= (SIMILARITY - 1e-9) * (a.count + b.count - both)
 
 
+def close_pairs(sets: list[Shingled], labels: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of different labels that reach ``SIMILARITY`` but for rounding.
+
+    Occurrence t of a shingle is a column of its own, so that shared weights of
+    all pairs are products of 0/1 matrices; columns of one text alone are left
+    out, the others are taken ``COLUMNS`` at a time.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [s.count for s in sets])
+    counts = np.concatenate([s.counts for s in sets]).astype(np.int64)
+    turn = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+    key = np.repeat(np.concatenate([s.hashes for s in sets]), counts)
+    key = np.where(turn > 0, mix64(key + turn * _ODD), key)
+    weight = np.repeat(np.concatenate([s.weights for s in sets]) / np.maximum(counts, 1), counts).astype(np.float32)
+    order = np.argsort(key, kind="stable")
+    key, owner, weight = key[order], owner[order], weight[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(key)))
+    shared = np.repeat(size > 1, size)
+    column = np.repeat(np.cumsum(size > 1) - 1, size)[shared]
+    owner, weight = owner[shared], weight[shared]
+    both, both_w = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, lo), np.searchsorted(column, lo + COLUMNS)
+        there = np.zeros((n, min(COLUMNS, int(column[-1]) + 1 - lo)), np.float32)
+        there[owner[a:b], column[a:b] - lo] = 1
+        heavy = np.zeros(there.shape[1], np.float32)
+        heavy[column[a:b] - lo] = weight[a:b]
+        both += there @ there.T
+        both_w += (there * heavy) @ there.T
+    count, total = (np.array(x, np.float32) for x in ([s.count for s in sets], [s.weight for s in sets]))
+    least = SIMILARITY - 1e-3
+    close = (both >= least * (count[:, None] + count[None, :] - both)) | (both_w >= least * (total[:, None] + total[None, :] - both_w))
+    i, j = np.nonzero(np.triu(close, 1) & (labels[:, None] != labels[None, :]))
+    return list(zip(i.tolist(), j.tolist()))
+
+
 def _set_rows(frame: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     """``g, tag, node, words`` for every (node, g, tag) wanted, from the nodes' whole texts.
 
@@ -405,16 +444,11 @@ def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) ->
                 return x
 
             sets = [_unpacked(blobs[i].as_py(), idf.value) for i in rows.tolist()]
-            by_count = np.argsort([s.count for s in sets])
-            for x, i in enumerate(by_count.tolist()):
-                for j in by_count[x + 1 :].tolist():
-                    # A weight is between one and two times the count.
-                    if 2 * sets[i].count < SIMILARITY * sets[j].count:
-                        break
-                    p, q = root(int(labels_[rows[i]])), root(int(labels_[rows[j]]))
-                    if p != q and alike(sets[i], sets[j]):
-                        parent[max(p, q)] = min(p, q)
-                        found.append((int(min(nodes[rows[i]], nodes[rows[j]])), int(max(nodes[rows[i]], nodes[rows[j]]))))
+            for i, j in close_pairs(sets, labels_[rows]):
+                p, q = root(int(labels_[rows[i]])), root(int(labels_[rows[j]]))
+                if p != q and alike(sets[i], sets[j]):
+                    parent[max(p, q)] = min(p, q)
+                    found.append((int(min(nodes[rows[i]], nodes[rows[j]])), int(max(nodes[rows[i]], nodes[rows[j]]))))
         return _links(found)
 
     named_sets = _set_rows(frame, *_by_size(place)).join(labels, "node", "left").select("g", "tag", "node", F.coalesce("label", "node").alias("label"), "words")
