@@ -9,6 +9,7 @@ code point is >= 0x80, the byte-wise scan equals the code-point pattern
 from __future__ import annotations
 
 import ctypes
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,12 +48,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder named in ``spark.checkpoint.dir``.
 
-    The folder is only chosen here when the session names none (local tests).
+    A session in local mode that names none gets a temporary folder; on a
+    cluster that would be another folder on every machine, so it is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/siftgrid-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="siftgrid-checkpoints-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

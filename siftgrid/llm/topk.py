@@ -13,14 +13,16 @@ Children are visited best bound first.  The k best of every block are merged
 per query by a window, so each query gets k rows per block at most.
 
 Components become integers by floor(scale * x); sums of products of integers
-below 2**53 are exact in doubles, so that scores are exact.  Vectors of other
-lengths than ``dimension`` (by default that of most vectors) can't be compared.
+below 2**53 are exact in doubles, so that scores are exact.  An inner product needs
+two vectors of one length, so the candidates of a query are the vectors of its
+own length; each length has its own blocks and trees.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part; a row is not its own candidate, told by its id - rows that share
 an id are one candidate if their vectors are equal, else several; equal
 vectors at equal scores are told apart by id; fewer candidates than k give
-fewer rows; an empty table gives no rows.
+fewer rows; empty vectors take part among themselves, with score 0; an empty
+table gives no rows; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -142,7 +144,7 @@ def dual_search(queries: np.ndarray, query_tree: Node, points: np.ndarray, ids:
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(-1, dimension).astype(np.float64)
+    return values.reshape(len(column), dimension).astype(np.float64)
 
 
 def integer_vectors(frame: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -151,30 +153,26 @@ def integer_vectors(frame: DataFrame, key: str, vector: str, scale: int) -> Data
     return frame.where(ok).select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, dimension: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows where ``is_query`` holds."""
-    usable = integer_vectors(vectors.withColumn("is_query", is_query), key, vector, scale)
-    sizes = usable.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(2).collect()
-    if not sizes:
-        return usable.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dimension = dimension or sizes[0]["n"]
-    usable = usable.where(F.size("v") == dimension)
-    total = sum(r["rows"] for r in sizes)
-    n_blocks = max(2, -(-total // BLOCK_ROWS))
-    asked = integer_vectors(vectors.where(is_query), key, vector, scale).where(F.size("v") == dimension)
+    usable = integer_vectors(vectors, key, vector, scale).withColumn("n", F.size("v"))
+    asked = integer_vectors(vectors.where(is_query), key, vector, scale).withColumn("n", F.size("v"))
+    # The length with most vectors decides how many blocks each length has.
+    n_blocks = max(2, -(-(usable.groupBy("n").count().agg(F.max("count")).first()[0] or 0) // BLOCK_ROWS))
     n_query_blocks = max(1, -(-asked.count() // QUERY_BLOCK_ROWS))
 
     # Blocks of candidates and of queries meet as (query block, block) pairs.
     deal = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int")
     n_shares = -(-n_query_blocks // QUERY_BLOCKS_TOGETHER)
     shares = F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1))) if n_shares > 1 else F.lit(0)
-    data = usable.select(deal.alias("block"), shares.alias("share"), F.lit(False).alias("asks"), F.lit(-1).alias("part"), "vec_id", "v")
+    data = usable.select("n", deal.alias("block"), shares.alias("share"), F.lit(False).alias("asks"), F.lit(-1).alias("part"), "vec_id", "v")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int")
-    asks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("block", F.pmod(part, F.lit(n_shares)).alias("share"), F.lit(True).alias("asks"), part.alias("part"), "vec_id", "v")
+    asks = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("n", "block", F.pmod(part, F.lit(n_shares)).alias("share"), F.lit(True).alias("asks"), part.alias("part"), "vec_id", "v")
 
     def pair(table: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         asks = table.column("asks").to_numpy()
+        dimension = table.column("n")[0].as_py()
         own = table.filter(pa.array(~asks)).combine_chunks()
         ids, points = own.column("vec_id").to_numpy(), _matrix(own.column("v").combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.float64())), dimension)
         queries = table.filter(pa.array(asks)).combine_chunks()
@@ -193,7 +191,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
         columns = list(zip(*out)) if out else [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = data.unionByName(asks).groupBy("block", "share").applyInArrow(lean_group(pair), "query_id long, vec_id long, score long")
+    found = data.unionByName(asks).groupBy("n", "block", "share").applyInArrow(lean_group(pair), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

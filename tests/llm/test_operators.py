@@ -305,6 +305,13 @@ def test_search_with_few_or_no_rows(spark):
     assert topk.search(frame(spark, [(0, [1.0]), (1, [2.0])], kind), F.col("vec_id") == 0).count() == 1
 
 
+def test_search_among_vectors_of_one_length(spark):
+    rows = [(0, [1.0, 2.0], True), (1, [3.0, 1.0], True), (2, [5.0], True), (3, [2.0], False), (4, [], True), (5, [], True), (6, None, True), (7, [float("nan"), 1.0], True), (100, [], False), (200, [1.0], False), (300, [1.0, 1.0], True)]
+    got = [tuple(r) for r in topk.search(frame(spark, rows, "vec_id long, embedding array<double>, is_query boolean"), F.col("vec_id") % 100 == 0, scale=1).collect()]
+    want = [(0, 1, 1, 5), (0, 2, 300, 3), (100, 1, 4, 0), (100, 2, 5, 0), (200, 1, 2, 5), (200, 2, 3, 2), (300, 1, 1, 4), (300, 2, 0, 3)]
+    assert sorted(got) == sorted(want)
+
+
 def test_plainly_alike_pairs_share_a_band():
     # 80 popular shingles shared, 10 rare ones on either side: 0.8 by occurrences, 2/3 by weight.
     rnd, lost = np.random.default_rng(31), 0
