@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,10 +60,36 @@ def test_headings(line, yes):
 
 
 def test_trailing_titles():
-    assert articles.title_at_end("metin biter – Yeni başlık:") == "Yeni başlık:"
+    assert articles.trailing_title("metin biter – Yeni başlık:") == ("metin biter", "Yeni başlık:")
+    assert articles.trailing_title("1. – Yeni başlık:") == ("", "Yeni başlık:") and articles.trailing_title("düz metin") == ("düz metin", "")
     assert articles.without_trailing_titles("Gövde cümlesi burada biter.\n\nYENİ BAŞLIK") == "Gövde cümlesi burada biter."
-    assert articles.without_title("gövde metni.\n\nYeni başlık", "Yeni başlık") == "gövde metni."
+    assert articles.without_trailing_titles("gövde metni.\n\nYeni başlık", "Yeni başlık") == "gövde metni."
+    assert articles.without_trailing_titles("Gövde biter. – Alt başlık:\n\nÜST BAŞLIK\n") == "Gövde biter."
     assert articles.tidy_title("Kapsam3") == "Kapsam" and articles.tidy_title("MADDE 5") == ""
+    assert articles.tidy_title("12/3 md.") == "" and articles.tidy_title("(ibaresi çıkarılmıştır)") == ""
+
+
+def test_titles_by_the_lines_above():
+    long = "Bu maddede gösterilen esaslar bütün işyerlerinde uygulanır."
+    cases = [
+        ("Önceki madde burada biter.\nYıllık izin hakkı", "Yıllık izin hakkı"),
+        ("Ücret hükümleri\nAsgari ücretin belirlenmesi", "Asgari ücretin belirlenmesi"),
+        ("İKİNCİ BÖLÜM\nÇalışma süreleri ve dinlenme", "Çalışma süreleri ve dinlenme"),
+        ("A) Genel kurallar\nI. Fesih hakkı:", "I. Fesih hakkı:"), ("A) Genel kurallar\nI - Fesih hakkı:", "Fesih hakkı:"),
+        ("Eski başlık\n\nbu bir cümledir.", ""),
+        ("", ""),
+    ]
+    for above, title in cases:
+        (header, found, body), = articles.cut_articles(f"{above}\nMADDE 7 – {long}".strip())
+        assert (header, found) == ("MADDE 7", title) and body.endswith(long)
+    spread = articles.cut_articles(f"Madde\n8 – {long}\n3 Bu fıkra değişmiştir\ndevamı\nMADDE 9 MADDE 9 – {long}4 Son.")
+    assert [(h, b.count("MADDE 9")) for h, _, b in spread] == [("Madde 8", 0), ("MADDE 9", 1)] and "devamı" not in spread[0][2]
+
+
+def test_long_statutes_take_linear_time():
+    one = "\n".join(f"Başlık metni\nMADDE {i} – " + "Bu madde uygulanır. " * 4 for i in range(4000))
+    began = time.time()
+    assert len(articles.cut_articles(one)) == 4000 and time.time() - began < 60
 
 
 def test_units():
