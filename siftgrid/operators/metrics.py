@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import normalize_answer, words
 
@@ -78,30 +80,28 @@ def token_f1(prediction: Column, reference: Column) -> Column:
 def _numbered(tokens: Column) -> Column:
     """Words with their occurrence numbers, so that a set keeps repetitions."""
     ordered = F.array_sort(tokens)
-    empty = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    return F.transform(ordered, lambda w, i: F.concat_ws("#", w, (i - F.array_position(ordered, w)).cast("string")))
 
-    def step(state: Column, token: Column) -> Column:
-        n = F.when(state["last"] == token, state["n"] + 1).otherwise(F.lit(1))
-        return F.struct(token.alias("last"), n.alias("n"), F.concat(state["out"], F.array(F.concat_ws("#", token, n.cast("string")))).alias("out"))
 
-    return F.aggregate(ordered, empty, step, lambda s: s["out"])
+def subsequence_length(p, r) -> int:
+    """Longest common subsequence of two lists, a row of the table as the bits of one integer."""
+    places: dict = {}
+    for i, word in enumerate(r):
+        places[word] = places.get(word, 0) | 1 << i
+    full = row = (1 << len(r)) - 1
+    for word in p:
+        same = row & places.get(word, 0)
+        row = (row + same | row - same) & full
+    return len(r) - row.bit_count()
 
 
 def common_subsequence(p: Column, r: Column) -> Column:
-    """Length of the longest common subsequence, by a fold over rows of the usual table."""
-    start = F.transform(r, lambda _: F.lit(0))
+    """Length of the longest common subsequence, by an Arrow UDF; memory is linear in the lists."""
 
-    def row(previous: Column, token: Column) -> Column:
-        # State: (left, diagonal, cells so far); previous[i] is the cell above.
-        seed = F.struct(F.lit(0).alias("left"), F.lit(0).alias("diagonal"), F.array().cast("array<int>").alias("cells"))
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([0 if a is None or b is None else subsequence_length(a, b) for a, b in zip(left, right)], dtype="int64")
 
-        def cell(state: Column, pair: Column) -> Column:
-            value = F.when(pair["same"] == token, state["diagonal"] + 1).otherwise(F.greatest(state["left"], pair["above"]))
-            return F.struct(value.alias("left"), pair["above"].alias("diagonal"), F.concat(state["cells"], F.array(value)).alias("cells"))
-
-        return F.aggregate(F.zip_with(r, previous, lambda w, above: F.struct(w.alias("same"), above.alias("above"))), seed, cell, lambda s: s["cells"])
-
-    return F.coalesce(F.element_at(F.aggregate(p, start, row), -1), F.lit(0))
+    return pandas_udf(run, "long")(p, r)
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:

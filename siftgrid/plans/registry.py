@@ -62,7 +62,7 @@ def split_(x: str) -> str:
 
 ARTICLES = """
 a AS (SELECT doc_id, source || '_madde_' || doc_id AS id, 'Law ' || source AS law_name, source AS law_no, 'Madde ' || doc_id AS article_no,
-      substr(text, 1, 40) AS article_title, text, lang AS source_url FROM documents WHERE text IS NOT NULL)"""
+      regexp_extract(text, '^[^.!?' || chr(10) || ']*') AS article_title, text, lang AS source_url FROM documents WHERE text IS NOT NULL)"""
 
 POSTINGS = f"""
 toks AS (SELECT doc_id, {terms_('text')} AS terms FROM documents WHERE text IS NOT NULL),
@@ -109,7 +109,7 @@ def _steady(frame: DataFrame, column: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> bm25.Index:
-    return bm25.build_index(tables.articles(spark, d))
+    return tables.lexical_index(spark, d)
 
 
 def _words(spark: SparkSession, d: str, k: int = 250) -> DataFrame:
@@ -174,17 +174,17 @@ def content_terms(spark, d):
     return docs.select("doc_id", F.explode(made).alias("m")).select("doc_id", "m.*")
 
 
-@query("""SELECT doc_id, coalesce(nullif(trim(regexp_replace(translate(lower(trim(source || ' ' || substr(text, 1, 30))), 'çğıöşü', 'cgiosu'), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'doc') AS slug,
+@query("""SELECT doc_id, coalesce(nullif(trim(regexp_replace(translate(lower(trim(source || ' ' || text)), 'çğıöşü', 'cgiosu'), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'doc') AS slug,
   'custom_' || substr(sha1(text), 1, 10) AS digest_id,
   CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_words,
   substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 100) AS short_text,
-  translate(lower(substr(text, 1, 60)), 'çğıöşü', 'cgiosu') AS light,
-  coalesce(nullif(trim(regexp_replace(substr(text, 1, 25), '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'file') AS file_name
+  translate(lower(text), 'çğıöşü', 'cgiosu') AS light,
+  coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'file') AS file_name
 FROM documents WHERE text IS NOT NULL""")
 def text_identifiers(spark, d):
     docs = tables.table(spark, d, "documents").where("text is not null")
     body = F.col("text")
-    return docs.select("doc_id", text.slug(F.concat_ws(" ", "source", F.substring("text", 1, 30))).alias("slug"), text.digest_id(body).alias("digest_id"), text.word_count(body).cast("long").alias("n_words"), text.short_text(body, 100).alias("short_text"), text.normalize_light(F.substring("text", 1, 60)).alias("light"), text.safe_filename(F.substring("text", 1, 25), F.lit("file")).alias("file_name"))
+    return docs.select("doc_id", text.slug(F.concat_ws(" ", "source", "text")).alias("slug"), text.digest_id(body).alias("digest_id"), text.word_count(body).cast("long").alias("n_words"), text.short_text(body, 100).alias("short_text"), text.normalize_light(body).alias("light"), text.safe_filename(body, F.lit("file")).alias("file_name"))
 
 
 @query(f"""WITH {ARTICLES}
@@ -213,12 +213,13 @@ def article_numbers(spark, d):
     return docs.select("doc_id", legal.article_number(F.col("h")).alias("number"), F.array_join(legal.article_variants(F.col("h")), ",").alias("variants"), legal.first_mentioned_article(F.col("h")).alias("mentioned"), F.concat_ws("-", F.col("r.law_no"), F.col("r.article_no")).alias("reference"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, substr(text, 1, 20 + doc_id % 260) AS question FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH x AS (SELECT doc_id, text AS question FROM documents WHERE text IS NOT NULL UNION ALL SELECT -1 - item_id, text FROM benchmark WHERE text IS NOT NULL)
 SELECT doc_id, (length(question) < 18 OR length(question) > 240 OR regexp_matches({n_('question')}, '{"|".join(f"(?:{p})" for p in legal.BAD_QUESTION_PATTERNS)}')) AS bad,
   CASE WHEN trim(regexp_replace(question, '\\s+', ' ', 'g')) <> '' AND NOT ends_with(trim(regexp_replace(question, '\\s+', ' ', 'g')), '?') THEN trim(regexp_replace(question, '\\s+', ' ', 'g')) || '?' ELSE trim(regexp_replace(question, '\\s+', ' ', 'g')) END AS readable
 FROM x""")
 def question_hygiene(spark, d):
-    docs = tables.table(spark, d, "documents").where("text is not null").select("doc_id", F.expr("substr(text, 1, cast(20 + doc_id % 260 as int))").alias("question"))
+    docs = tables.table(spark, d, "documents").select("doc_id", F.col("text").alias("question"))
+    docs = docs.unionByName(tables.table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.col("text").alias("question"))).where("question is not null")
     return docs.select("doc_id", legal.is_bad_question(F.col("question")).alias("bad"), legal.readable_question(F.col("question")).alias("readable"))
 
 
@@ -307,24 +308,24 @@ def rerank_fusion(spark, d):
 _DICE = "CASE WHEN x = y THEN 1.0 WHEN length(x) < 4 OR length(y) < 4 THEN 0.0 ELSE 2 * len(list_intersect({0}, {1})) / (len(list_distinct({0})) + len(list_distinct({1}))) END".format(grams_("x"), grams_("y"))
 
 
-@query(f"""WITH p AS (SELECT b.item_id, t.doc_id, list_distinct({content_('b.text', 'titles')}) AS q, list_distinct({content_('substr(t.text, 1, 40)', 'titles')}) AS t FROM benchmark b JOIN documents t ON t.doc_id % 40 = b.item_id % 40 WHERE t.text IS NOT NULL),
+@query(f"""WITH {HYBRID}, p AS (SELECT b.item_id, t.doc_id, list_distinct({content_('b.text', 'titles')}) AS q, list_distinct({content_("regexp_extract(t.text, '^[^.!?' || chr(10) || ']*')", 'titles')}) AS t FROM hy JOIN benchmark b ON b.item_id = query_id JOIN documents t USING (doc_id) WHERE t.text IS NOT NULL),
 c AS (SELECT item_id, doc_id, len(q) AS nq, len(t) AS nt, unnest(q) AS x, t FROM p), e AS (SELECT item_id, doc_id, nq, nt, x, unnest(t) AS y FROM c),
 m AS (SELECT item_id, doc_id, any_value(nq) AS nq, any_value(nt) AS nt, count(DISTINCT x) FILTER (WHERE {_DICE} >= 0.82) AS hq, count(DISTINCT y) FILTER (WHERE {_DICE} >= 0.82) AS ht FROM e GROUP BY item_id, doc_id)
 SELECT p.item_id AS query_id, p.doc_id, round(coalesce(CASE WHEN coalesce(hq, 0) = 0 THEN 0.0 WHEN hq = 1 AND ht = 1 THEN least(0.45, 0.45 * ht / nt) ELSE least(1.0, 0.35 * hq / nq + 0.65 * ht / nt) END, 0.0), 6) AS title_score
 FROM p LEFT JOIN m USING (item_id, doc_id)""")
 def title_relevance(spark, d):
-    a = tables.articles(spark, d).withColumn("k", F.col("doc_id") % 40)
-    rows = tables.questions(spark, d).withColumn("k", F.col("query_id") % 40).join(a, "k")
+    found = _hybrid(spark, d).select("query_id", "doc_id").join(tables.questions(spark, d), "query_id")
+    rows = found.join(tables.articles(spark, d), "doc_id")
     return rows.select("query_id", "doc_id", F.round(tokens.title_relevance(F.col("question"), F.col("article_title")), 6).alias("title_score"))
 
 
 def _title_fusion_rows(spark, d):
-    again = _reranked(spark, d, _hybrid(spark, d).where("rank <= 20")).join(tables.questions(spark, d).select("query_id", "question"), "query_id")
+    again = _reranked(spark, d, _hybrid(spark, d)).join(tables.questions(spark, d).select("query_id", "question"), "query_id")
     return hybrid.fuse_with_title(again, tables.articles(spark, d))
 
 
-@query(f"""WITH {HYBRID.replace("hy AS", "hy0 AS")}, hy AS (SELECT * FROM hy0 WHERE rank <= 20), re AS {_OVERLAP},
-p AS (SELECT query_id, doc_id, list_distinct({content_('b.text', 'titles')}) AS q, list_distinct({content_('substr(t.text, 1, 40)', 'titles')}) AS t FROM hy JOIN benchmark b ON b.item_id = query_id JOIN documents t USING (doc_id)),
+@query(f"""WITH {HYBRID}, re AS {_OVERLAP},
+p AS (SELECT query_id, doc_id, list_distinct({content_('b.text', 'titles')}) AS q, list_distinct({content_("regexp_extract(t.text, '^[^.!?' || chr(10) || ']*')", 'titles')}) AS t FROM hy JOIN benchmark b ON b.item_id = query_id JOIN documents t USING (doc_id)),
 c AS (SELECT query_id, doc_id, len(q) AS nq, len(t) AS nt, unnest(q) AS x, t FROM p), e AS (SELECT query_id, doc_id, nq, nt, x, unnest(t) AS y FROM c),
 m AS (SELECT query_id, doc_id, any_value(nq) AS nq, any_value(nt) AS nt, count(DISTINCT x) FILTER (WHERE {_DICE} >= 0.82) AS hq, count(DISTINCT y) FILTER (WHERE {_DICE} >= 0.82) AS ht FROM e GROUP BY query_id, doc_id),
 ti AS (SELECT p.query_id, p.doc_id, coalesce(CASE WHEN coalesce(hq, 0) = 0 THEN 0.0 WHEN hq = 1 AND ht = 1 THEN least(0.45, 0.45 * ht / nt) ELSE least(1.0, 0.35 * hq / nq + 0.65 * ht / nt) END, 0.0) AS title_score FROM p LEFT JOIN m USING (query_id, doc_id))
@@ -412,7 +413,7 @@ def _answers(spark, d) -> DataFrame:
     """Turns of conversations against the turn before, as answers and references."""
     talk = tables.table(spark, d, "conversations")
     before = talk.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("expected_answer"))
-    return talk.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.col("role").alias("model"), F.substring("text", 1, 300).alias("generated_answer"), F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.substring("expected_answer", 1, 200)).alias("expected_answer"))
+    return talk.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.col("role").alias("model"), F.col("text").alias("generated_answer"), F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.col("expected_answer")).alias("expected_answer"))
 
 
 def _overlaps(spark, d) -> DataFrame:
@@ -421,7 +422,7 @@ def _overlaps(spark, d) -> DataFrame:
     return _answers(spark, d).select("conv_id", "turn", "model", F.when(known, metrics.exact_match(p, r)).alias("em"), F.when(known, metrics.token_f1(p, r)).alias("f1"))
 
 
-_ANSWERS = "ans AS (SELECT a.conv_id, a.turn, a.role AS model, substr(a.text, 1, 300) AS p, CASE WHEN a.turn % 5 = 0 THEN '' ELSE substr(b.text, 1, 200) END AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
+_ANSWERS = "ans AS (SELECT a.conv_id, a.turn, a.role AS model, a.text AS p, CASE WHEN a.turn % 5 = 0 THEN '' ELSE b.text END AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
 _F1 = f"""cnt AS (SELECT conv_id, turn, sum(least(x.c, y.c)) AS shared FROM (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, unnest({words_('p')}) AS w FROM ans) GROUP BY ALL) x
   JOIN (SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, unnest({words_('r')}) AS w FROM ans) GROUP BY ALL) y USING (conv_id, turn, w) GROUP BY ALL),
 am AS (SELECT conv_id, turn, model, CASE WHEN trim(r) <> '' THEN CASE WHEN {words_('p')} = {words_('r')} THEN 1.0 ELSE 0.0 END END AS em,
@@ -525,10 +526,10 @@ def hard_negatives(spark, d):
 
 def _labelled(spark, d) -> DataFrame:
     docs = tables.table(spark, d, "documents").where("text is not null")
-    return docs.select(F.col("source").alias("query_id"), F.col("source").alias("query"), F.substring("text", 1, 60).alias("passage"), (F.col("doc_id") % 3 == 0).cast("int").alias("label"), F.col("doc_id").alias("position"))
+    return docs.select(F.col("source").alias("query_id"), F.col("source").alias("query"), F.col("text").alias("passage"), (F.col("doc_id") % 3 == 0).cast("int").alias("label"), F.col("doc_id").alias("position"))
 
 
-_LABELLED = "lab AS (SELECT source AS query_id, source AS query, substr(text, 1, 60) AS passage, CAST(doc_id % 3 = 0 AS INTEGER) AS label, doc_id AS position FROM documents WHERE text IS NOT NULL)"
+_LABELLED = "lab AS (SELECT source AS query_id, source AS query, text AS passage, CAST(doc_id % 3 = 0 AS INTEGER) AS label, doc_id AS position FROM documents WHERE text IS NOT NULL)"
 
 
 @query(f"""WITH {_LABELLED}, p AS (SELECT query_id, passage, row_number() OVER (PARTITION BY query_id ORDER BY position) AS i FROM lab WHERE label = 1), n AS (SELECT query_id, passage, row_number() OVER (PARTITION BY query_id ORDER BY position) AS j FROM lab WHERE label = 0)
@@ -549,21 +550,22 @@ def group_split(spark, d):
     return pairs.split_by_group(tables.table(spark, d, "conversations"), "conv_id").select("conv_id", "turn", "split")
 
 
-@query("""WITH r AS (SELECT substr(text, 1, 50) || '#' || doc_id AS question, source AS law_no, source || '_' || (doc_id % 7) AS positive_parent_id, CAST(doc_id % 3 AS INTEGER) AS priority, CAST(doc_id % 11 AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL),
+@query("""WITH r AS (SELECT text || '#' || doc_id AS question, source AS law_no, source || '_' || (doc_id % 7) AS positive_parent_id, CAST(doc_id % 3 AS INTEGER) AS priority, CAST(doc_id % 11 AS DOUBLE) AS score FROM documents WHERE text IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY positive_parent_id ORDER BY priority, score DESC, md5('493|' || question), question) AS p FROM r),
 l AS (SELECT *, row_number() OVER (PARTITION BY law_no ORDER BY priority, score DESC, md5('493|' || question), question) AS k FROM o WHERE p <= 2)
 SELECT question, law_no, positive_parent_id FROM l WHERE k <= 9 ORDER BY priority, score DESC, md5('493|' || question), question LIMIT 100""")
 def balanced_selection(spark, d):
     docs = tables.table(spark, d, "documents").where("text is not null")
-    rows = docs.select(F.concat(F.substring("text", 1, 50), F.lit("#"), F.col("doc_id").cast("string")).alias("question"), F.col("source").alias("law_no"), F.concat_ws("_", "source", (F.col("doc_id") % 7).cast("string")).alias("positive_parent_id"), (F.col("doc_id") % 3).cast("int").alias("priority"), (F.col("doc_id") % 11).cast("double").alias("score"))
+    rows = docs.select(F.concat("text", F.lit("#"), F.col("doc_id").cast("string")).alias("question"), F.col("source").alias("law_no"), F.concat_ws("_", "source", (F.col("doc_id") % 7).cast("string")).alias("positive_parent_id"), (F.col("doc_id") % 3).cast("int").alias("priority"), (F.col("doc_id") % 11).cast("double").alias("score"))
     return pairs.balanced(rows, 100, 9, 2).select("question", "law_no", "positive_parent_id")
 
 
-@query(f"""WITH x AS (SELECT doc_id, substr(text, 1, 30) AS question FROM documents WHERE length(text) >= 18),
+@query(f"""WITH x AS (SELECT doc_id, text AS question FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark),
 t AS (SELECT doc_id, CASE WHEN ends_with(trim(regexp_replace(question, '\\s+', ' ', 'g')), '?') THEN trim(regexp_replace(question, '\\s+', ' ', 'g')) ELSE trim(regexp_replace(question, '\\s+', ' ', 'g')) || '?' END AS question FROM x)
-SELECT doc_id, question FROM t WHERE length(question) >= 18 QUALIFY row_number() OVER (PARTITION BY {n_('question')} ORDER BY doc_id) = 1""")
+SELECT doc_id, question FROM t WHERE length(question) BETWEEN 18 AND 240 AND NOT regexp_matches({n_('question')}, '{"|".join(f"(?:{p})" for p in legal.BAD_QUESTION_PATTERNS)}') QUALIFY row_number() OVER (PARTITION BY {n_('question')} ORDER BY doc_id) = 1""")
 def distinct_questions(spark, d):
-    docs = tables.table(spark, d, "documents").where("length(text) >= 18").select("doc_id", F.substring("text", 1, 30).alias("question"))
+    docs = tables.table(spark, d, "documents").select("doc_id", F.col("text").alias("question"))
+    docs = docs.unionByName(tables.table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.col("text").alias("question")))
     return pairs.usable_questions(docs, ["doc_id"]).select("doc_id", "question")
 
 
@@ -582,11 +584,11 @@ def positive_repeat(spark, d):
 
 
 @query("""WITH w AS (SELECT unnest(['the', 'thea', 'theann', 'sh', 'oner', 'la', 'der']) AS name, unnest(['1', '2', '3', '4', '5', '6', '7']) AS law_no),
-h AS (SELECT d.doc_id, max_by(w.law_no, struct_pack(n := length(w.name), m := w.name)) AS law_no FROM documents d JOIN w ON contains(strip_accents(lower(substr(d.text, 1, 120))), w.name) GROUP BY d.doc_id)
+h AS (SELECT d.doc_id, max_by(w.law_no, struct_pack(n := length(w.name), m := w.name)) AS law_no FROM documents d JOIN w ON contains(strip_accents(lower(d.text)), w.name) GROUP BY d.doc_id)
 SELECT doc_id, law_no FROM h""")
 def law_inference(spark, d):
     names = spark.createDataFrame([(n, str(i + 1)) for i, n in enumerate(("the", "thea", "theann", "sh", "oner", "la", "der"))], "name string, law_no string")
-    docs = tables.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("context"))
+    docs = tables.table(spark, d, "documents").select("doc_id", F.col("text").alias("context"))
     return gold.infer_law(docs, names, ["context"], "doc_id")
 
 

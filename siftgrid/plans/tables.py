@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bm25
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
@@ -24,8 +28,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < cores * SMALL_BYTES and len(rows.inputFiles()) < cores else rows
 
 
+#: The first sentence or line of a text stands for an article's title.
+TITLE = r"^[^.!?\n]*"
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as articles: the source as law, the id as article number, the first words as title."""
+    """``documents`` as articles: the source as law, the id as article number, the first sentence as title."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return docs.select(
         "doc_id",
@@ -33,7 +41,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Law "), "source").alias("law_name"),
         F.col("source").alias("law_no"),
         F.format_string("Madde %d", "doc_id").alias("article_no"),
-        F.substring("text", 1, 40).alias("article_title"),
+        F.regexp_extract("text", TITLE, 0).alias("article_title"),
         "text",
         F.col("lang").alias("source_url"),
     )
@@ -59,3 +67,25 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold parents of each question: that of its number and the one after."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     return items.withColumn("parent_id", F.explode(F.array(F.floor(F.col("query_id") / 4).cast("long"), (F.floor(F.col("query_id") / 4) + 1).cast("long"))))
+
+
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The BM25 index of the articles, built at first use and kept for the session.
+
+    It lies in the shared folder of ``spark.checkpoint.dir`` and is known by
+    names, sizes and times of the files behind it, so new files make a new one.
+    """
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    mark = str(files.agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()[0])
+    known = spark.sparkContext.applicationId, mark
+    if known not in _KEPT:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"{folder or tempfile.mkdtemp(prefix='siftgrid-')}/siftgrid-index/{known[0]}/{mark}"
+        bm25.write_index(articles(spark, sf_dir), path)
+        _KEPT[known] = path
+    return bm25.read_index(spark, _KEPT[known])
