@@ -317,7 +317,7 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 
 
 def log_losses(docs: DataFrame, losses: Losses, values: DataFrame, unseen: float) -> DataFrame:
-    """``doc_id, lang, chars, letters, loss``: units of every row and summed log-losses, by the characters alone and by the words."""
+    """``doc_id, lang, chars, letters, loss``: code points of every row and summed log-losses, by the characters alone and by the words."""
     held = docs.sparkSession.sparkContext.broadcast(losses)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
@@ -337,8 +337,8 @@ def log_losses(docs: DataFrame, losses: Losses, values: DataFrame, unseen: float
             data, offsets = text_buffers(batch.column(2))
             chars, letters, loss = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
             for _, _, part, offs in blocks(data, offsets):
-                total, bounds = spelled(part, offs, table)
-                chars.append(np.diff(bounds))
+                total, _ = spelled(part, offs, table)
+                chars.append(np.diff(np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[offs]))
                 letters.append(np.round(np.diff(total[offs]), 6))
                 loss.append(letters[-1] + unseen * np.bincount(token_spans(part, offs)[2], minlength=len(offs) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(_row_marks(batch.column(0).to_pylist(), data, offsets)), batch.column(0), batch.column(1), pa.array(np.concatenate(chars), pa.int64()), pa.array(np.concatenate(letters), pa.float64()), pa.array(np.concatenate(loss), pa.float64())], ["mark", "doc_id", "lang", "chars", "letters", "base"])
