@@ -1,15 +1,16 @@
 """Quality by interpolated modified Kneser-Ney models over words (operator 10).
 
 The models are trained on trusted texts (``labels.quality`` = 1) of the whole
-table.  The first has order ``WORD_ORDER`` over tokens: runs of word bytes and
+table.  The first has order 3 over tokens: runs of word bytes and
 runs of other bytes, as they are written (only a single space between tokens
 is none).  Its n-grams grow with the input, so they are never collected or
-broadcast: counts are summed per task, shuffled by n-gram and joined with their
-context totals and lower orders.  With ``d`` of an n-gram (what it adds to the
-loss given by shorter ones) and ``g`` of a context (what backing off from it
-adds), the loss of a text is a sum over its n-grams.  Those of each text,
-counted per text first and packed, meet the values in shards of their keys,
-and what they add is summed per text.
+broadcast.  Trigrams travel packed, to the shard of their middle token: it
+holds all contexts of order 3, and the bigrams that begin with the token, and
+so counts both.  A token that is over half of a shard's share is spread over
+shards by the token before it, and its bigrams are summed apart.  How many
+bigrams end with a token is summed by token and joined back to the shards
+that need it.  Then each text's trigrams meet the counts in their shard, and
+what they add to the text's loss is packed and summed by text.
 
 A token that no trained text has is spelled by the second model, of order
 ``ORDER`` over ``ALPHABET`` character classes; that one has at most 64**4 =
@@ -42,13 +43,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, blocks, checkpoint, lean, mix64, prefix_hash, span_hash, text_buffers
+from .common import IS_WORD, blocks, checkpoint, lean, lean_group, mix64, prefix_hash, span_hash, text_buffers
 
 ORDER = 4
 BITS = 6
 ALPHABET = 1 << BITS
 CELLS = 1 << (BITS * ORDER)
-WORD_ORDER = 3
 #: Characters of all texts per shard of n-grams, and bytes of texts whose n-grams are packed at a time.
 SHARD_CHARS, BAG_BYTES = 32_000_000, 8_000_000
 QUANTILE = 0.99
@@ -197,9 +197,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 # ---- words -----------------------------------------------------------------
 
-_WORD_STEP = np.random.default_rng(10).integers(1 << 62, 1 << 63, WORD_ORDER, dtype=np.uint64) | np.uint64(1)
+_STEP = np.random.default_rng(10).integers(1 << 62, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
 #: What stands before the first token of a text.
 _BEGIN = np.uint64(0x9E3779B97F4A7C15)
+#: Steps of a unit of log-loss in which the spelling of a token is kept.
+_SPELL_STEPS = 64
 
 
 def token_spans(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,80 +218,14 @@ def token_spans(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_keys(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
-    """Keys of the 1-, 2-, ... grams that end at each token."""
-    words = span_hash(prefix_hash(part), starts, ends)
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    total, out = words * _WORD_STEP[0], []
-    for order in range(1, WORD_ORDER + 1):
-        if order > 1:
-            older = np.full_like(words, _BEGIN)
-            older[order - 1 :] = words[: len(words) - order + 1]
-            total = total + np.where(place >= order - 1, older, _BEGIN) * _WORD_STEP[order - 1]
-        out.append(mix64(total + np.uint64(order)))
-    return out
-
-
-def begin_key(order: int) -> np.uint64:
-    return mix64((_WORD_STEP[:order] * _BEGIN).sum(keepdims=True) + np.uint64(order))[0]
-
-
-def before(keys: np.ndarray, row: np.ndarray, order: int) -> np.ndarray:
-    """Keys of the ``order``-grams that end before each token."""
-    out = np.full_like(keys, begin_key(order))
-    same = np.flatnonzero(row[1:] == row[:-1]) + 1
-    out[same] = keys[same - 1]
-    return out
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(a * _STEP[0] + b * _STEP[1])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``k1, k2, k3, c1, c2, n``: trigrams with the keys of their ends and of the contexts of those."""
-    names = [*[f"k{o}" for o in range(1, WORD_ORDER + 1)], *[f"c{o}" for o in range(1, WORD_ORDER)]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for _, _, part, offs in blocks(data, offsets):
-                starts, ends, row = token_spans(part, offs)
-                if len(starts):
-                    keys = word_keys(part, starts, ends, row)
-                    rows = [*keys, *[before(keys[o - 1], row, o) for o in range(1, WORD_ORDER)]]
-                    _, at, n = np.unique(keys[-1], return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c[at].view(np.int64)) for c in rows], pa.array(n)], [*names, "n"])
-
-    counted = docs.select("text").mapInArrow(lean(run), ", ".join(f"{c} long" for c in [*names, "n"]))
-    return counted.groupBy(f"k{WORD_ORDER}").agg(*[F.first(c).alias(c) for c in names if c != f"k{WORD_ORDER}"], F.sum("n").alias("n"))
-
-
-def word_values(counts: DataFrame) -> tuple[DataFrame, float]:
-    """``key, d, g`` of every seen n-gram and context, and the loss of leaving the seen tokens."""
-    grams = {WORD_ORDER: counts}
-    for order in range(WORD_ORDER - 1, 0, -1):
-        rest = [f"k{o}" for o in range(1, order)] + [f"c{o}" for o in range(1, order)]
-        grams[order] = checkpoint(grams[order + 1].groupBy(f"k{order}").agg(*[F.first(c).alias(c) for c in rest], F.count("*").alias("n")))
-    parts, lower, unseen = [], None, 0.0
-    for order in range(1, WORD_ORDER + 1):
-        table = grams[order]
-        d1, d2, d3 = discounts({r["n"]: r["k"] for r in table.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()})
-        table = table.withColumn("cut", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
-        if order == 1:
-            total = table.agg(F.sum("n").alias("all"), F.sum("cut").alias("left")).first()
-            if not total["all"]:
-                return counts.sparkSession.createDataFrame([], "key long, d double, g double"), 0.0
-            unseen = -float(np.log(total["left"] / total["all"]))
-            seen = table.select(F.col("k1").alias("key"), ((F.col("n") - F.col("cut")) / total["all"]).alias("p")).withColumn("d", -F.log("p"))
-        else:
-            context = f"c{order - 1}"
-            totals = checkpoint(table.groupBy(context).agg(F.sum("n").alias("all"), F.sum("cut").alias("left")).select(context, "all", (F.col("left") / F.col("all")).alias("gamma")))
-            joined = table.join(totals, context).join(lower.select(F.col("key").alias(f"k{order - 1}"), F.col("p").alias("p_lower")), f"k{order - 1}")
-            seen = joined.select(F.col(f"k{order}").alias("key"), ((F.col("n") - F.col("cut")) / F.col("all")).alias("own"), (F.col("gamma") * F.col("p_lower")).alias("less")).select("key", (F.col("own") + F.col("less")).alias("p"), (-F.log1p(F.col("own") / F.col("less"))).alias("d"))
-            parts.append(totals.select(F.col(context).alias("key"), F.lit(0.0).alias("d"), (-F.log("gamma")).alias("g")))
-        lower = checkpoint(seen)
-        parts.append(lower.select("key", "d", F.lit(0.0).alias("g")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return checkpoint(every.groupBy("key").agg(F.sum("d").alias("d"), F.sum("g").alias("g"))), unseen
+def shard_of(middle: np.ndarray, left: np.ndarray, heavy: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of trigrams: all of a middle token in one, those of a heavy one by the token before it."""
+    key = np.where(np.isin(middle, heavy), pair_key(left, middle), mix64(middle))
+    return ((key >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
 def _row_marks(ids: list, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -297,134 +233,323 @@ def _row_marks(ids: list, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8, key=str(i).encode()).digest(), "little", signed=True) for i, a, b in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.int64)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-
-
-def _pack(n: int, columns: list[np.ndarray]) -> bytes:
-    """Columns, byte by byte, compressed; all but the last have ``n`` values."""
-    return zstandard.compress(n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns), 1)
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns, byte by byte, compressed."""
+    sizes = np.array([len(c) for c in columns], dtype=np.int64).tobytes()
+    return zstandard.compress(sizes + b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns), 3)
 
 
 def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    n, at, out = int.from_bytes(raw[:8].tobytes(), "little"), 8, []
-    for i, kind in enumerate(map(np.dtype, kinds)):
-        size = n * kind.itemsize if i < len(kinds) - 1 else len(raw) - at
-        out.append(np.ascontiguousarray(raw[at : at + size].reshape(kind.itemsize, -1).T).view(kind).ravel())
-        at += size
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(raw[:at].view(np.int64).tolist(), map(np.dtype, kinds)):
+        out.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += n * kind.itemsize
     return out
 
 
-def log_losses(docs: DataFrame, losses: Losses, values: DataFrame, unseen: float) -> DataFrame:
-    """``doc_id, lang, chars, letters, loss``: code points of every row and summed log-losses, by the characters alone and by the words."""
-    held = docs.sparkSession.sparkContext.broadcast(losses)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+def spelling(part: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Summed loss of the characters before each byte."""
+    code, _ = codes(part, offs)
+    total = np.zeros(len(code) + 1)
+    np.cumsum(table[code], dtype=np.float64, out=total[1:])
+    at = np.zeros(len(part) + 1, dtype=np.int64)
+    np.cumsum(~IS_LEAD[part], out=at[1:])
+    return total[at]
 
-    def spelled(part: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Summed loss of the characters before each byte, and row bounds in characters."""
-        code, bounds = codes(part, offs)
-        total = np.zeros(len(code) + 1)
-        np.cumsum(table[code], dtype=np.float64, out=total[1:])
-        at = np.zeros(len(part) + 1, dtype=np.int64)
-        np.cumsum(~IS_LEAD[part], out=at[1:])
-        return total[at], bounds
 
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows as if no token had been seen."""
-        table = held.value.dense()
+def spelled(total: np.ndarray, starts: np.ndarray, row: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Loss of each token's characters (and of blanks next to it), in whole steps."""
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    last = np.append(first[1:], True)
+    begin = np.where(first, offs[row], starts)
+    return np.round((total[np.where(last, offs[row + 1], np.append(begin[1:], 0))] - total[begin]) * _SPELL_STEPS).astype(np.int64)
+
+
+def heavy_words(docs: DataFrame, shards: int) -> np.ndarray:
+    """Tokens that may be over half of a shard's share of all tokens; four a shard at most.
+
+    A block tells only of its tokens above a quarter of that share, so a token
+    above half of it has a sum above a quarter at least.  Which tokens are
+    heavy decides where trigrams travel and changes no result.
+    """
+    if shards == 1:
+        return np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            chars, letters, loss = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+            data, offsets = text_buffers(batch.column(0))
             for _, _, part, offs in blocks(data, offsets):
-                total, _ = spelled(part, offs, table)
-                chars.append(np.diff(np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[offs]))
-                letters.append(np.round(np.diff(total[offs]), 6))
-                loss.append(letters[-1] + unseen * np.bincount(token_spans(part, offs)[2], minlength=len(offs) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(_row_marks(batch.column(0).to_pylist(), data, offsets)), batch.column(0), batch.column(1), pa.array(np.concatenate(chars), pa.int64()), pa.array(np.concatenate(letters), pa.float64()), pa.array(np.concatenate(loss), pa.float64())], ["mark", "doc_id", "lang", "chars", "letters", "base"])
+                starts, ends, _ = token_spans(part, offs)
+                if len(starts):
+                    word, n = np.unique(span_hash(prefix_hash(part), starts, ends), return_counts=True)
+                    often = n > len(starts) / (4 * shards)
+                    # The null row tells the number of all tokens.
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *word[often].view(np.int64).tolist()], pa.int64()), pa.array([len(starts), *n[often].tolist()], pa.int64())], ["word", "n"])
 
-    found = checkpoint(rows.mapInArrow(lean(base), "mark long, doc_id long, lang string, chars long, letters double, base double"))
-    shards = 1 + (found.agg(F.sum("chars")).first()[0] or 0) // SHARD_CHARS
+    counts = docs.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = checkpoint(counts)
+    total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("word").isNotNull() & (F.col("n") > total / (4 * shards))).select("word").collect()
+    return np.sort(np.array([r["word"] for r in found], dtype=np.int64).view(np.uint64))
 
-    def grams_of(part: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...] | None:
-        """Keys and rows of a block's n-grams: how often as n-gram, how often as context, and their part of the base."""
-        starts, ends, row = token_spans(part, offs)
-        if not len(starts):
-            return None
-        total, _ = spelled(part, offs, table)
-        first = np.concatenate([[True], row[1:] != row[:-1]])
-        last = np.append(first[1:], True)
-        begin = np.where(first, offs[row], starts)
-        own = total[np.where(last, offs[row + 1], np.append(begin[1:], 0))] - total[begin] + unseen
-        heads = row[first]
-        parts = []
-        for order, keys in enumerate(word_keys(part, starts, ends, row), 1):
-            one, zero = np.ones(len(row), np.int64), np.zeros(len(row), np.int64)
-            parts.append((keys, row, one, (~last).astype(np.int64) if order < WORD_ORDER else zero, own if order == 1 else zero.astype(float)))
-            if order < WORD_ORDER:
-                parts.append((np.full(len(heads), begin_key(order)), heads, np.zeros(len(heads), np.int64), np.ones(len(heads), np.int64), np.zeros(len(heads))))
-        key, of, n, m, b = (np.concatenate(x) for x in zip(*parts))
-        by = np.lexsort((of, key))
-        key, of = key[by], of[by]
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
-        return key[new], of[new], *[np.add.reduceat(x[by], new) for x in (n, m, b)]
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """n-grams of about ``BAG_BYTES`` of texts at a time, packed by shard of their keys."""
-        table = held.value.dense()
-        marks, grams, n_rows, n_bytes = [], [], 0, 0
+
+_COUNT_KINDS = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
+_SCORE_KINDS = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint8, np.int64, np.int64)
+
+
+def bags(docs: DataFrame, shards: int, heavy: np.ndarray, spell: object = None) -> DataFrame:
+    """``shard, bag``: trigrams of about ``BAG_BYTES`` of texts at a time, packed by shard.
+
+    A bag holds its tokens' hashes and, in order of trigrams, the places of the
+    three tokens in them.  Without ``spell`` a trigram comes once, with how
+    often it occurs in trained texts (0 if in others only).  With ``spell`` (a
+    broadcast :class:`Losses`) it comes once per occurrence, with the row in
+    the bag, whether that is trained on, and the loss of the last token's
+    spelling; the bag's first shard also tells the marks of all rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = spell.value.dense() if spell is not None else None
+        marks, trained, grams, n_rows, n_bytes = [], [], [], 0, 0
 
         def packed() -> pa.RecordBatch:
-            key, of, n, m, b = (np.concatenate(x) for x in zip(*grams))
-            shard = shard_of(key, shards)
-            by = np.lexsort((key, shard))
+            word, row, cost = (np.concatenate(x) for x in zip(*grams))
+            flags = np.concatenate(trained)
+            known, at = np.unique(np.append(word, _BEGIN), return_inverse=True)
+            last, none = at[:-1].astype(np.int32), np.int32(at[-1])
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            middle, left = np.full_like(last, none), np.full_like(last, none)
+            middle[1:] = np.where(place[1:] >= 1, last[:-1], none)
+            left[2:] = np.where(place[2:] >= 2, last[:-2], none)
+            shard = shard_of(known[middle], known[left], heavy, shards)
+            del word, at, place
+            by = np.lexsort((last, left, middle, shard))
             cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1]]))
-            blobs, known = [], np.concatenate(marks)
-            for at in np.split(by, cuts[1:]):
-                used, place = np.unique(of[at], return_inverse=True)
-                blobs.append(_pack(len(at), [np.diff(key[at], prepend=np.uint64(0)), place.astype(np.uint32), n[at].astype(np.uint32), m[at].astype(np.uint32), b[at].astype(np.float32), known[used]]))
+            blobs = []
+            all_marks = np.concatenate(marks)
+            name = np.frombuffer(hashlib.blake2b(all_marks.tobytes(), digest_size=8).digest(), np.int64)
+            for i, part in enumerate(np.split(by, cuts[1:])):
+                a, b, c = left[part], middle[part], last[part]
+                fields = []
+                if spell is None:
+                    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+                    fields = [np.add.reduceat(flags[row[part]].astype(np.int64), new).astype(np.uint32)]
+                    a, b, c = a[new], b[new], c[new]
+                else:
+                    fields = [row[part].astype(np.uint32), cost[part].astype(np.uint32), flags[row[part]].astype(np.uint8), name, all_marks if i == 0 else np.zeros(0, np.int64)]
+                used = np.zeros(len(known), dtype=bool)
+                used[a] = used[b] = used[c] = True
+                to = np.cumsum(used) - 1
+                a, b, c = (to[x] for x in (a, b, c))
+                blobs.append(_pack([np.diff(known[used], prepend=np.uint64(0)), np.diff(b, prepend=0).astype(np.uint32), a.astype(np.uint32), c.astype(np.uint32), *fields]))
             return pa.RecordBatch.from_arrays([pa.array(shard[by][cuts]), pa.array(blobs, pa.binary())], ["shard", "bag"])
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             marks.append(_row_marks(batch.column(0).to_pylist(), data, offsets))
+            trained.append(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
             for i, _, part, offs in blocks(data, offsets):
-                found_ = grams_of(part, offs, table)
-                if found_:
-                    grams.append((found_[0], found_[1] + i + n_rows, *found_[2:]))
+                starts, ends, row = token_spans(part, offs)
+                if len(starts):
+                    cost = spelled(spelling(part, offs, table), starts, row, offs) if table is not None else np.zeros(len(row), np.int64)
+                    grams.append((span_hash(prefix_hash(part), starts, ends), row + i + n_rows, cost))
             n_rows, n_bytes = n_rows + batch.num_rows, n_bytes + len(data)
             if n_bytes >= BAG_BYTES and grams:
                 yield packed()
-                marks, grams, n_rows, n_bytes = [], [], 0, 0
+                marks, trained, grams, n_rows, n_bytes = [], [], [], 0, 0
         if grams:
             yield packed()
 
-    def changes(bag: pa.Table, value: pa.Table) -> pa.Table:
-        """What a shard's seen n-grams change, in whole millionths, so that sums don't depend on their order."""
-        keys = value.column("key").to_numpy().view(np.uint64)
+    return docs.select("doc_id", "text", "trained").where("text <> ''").mapInArrow(lean(run), "shard long, bag binary")
+
+
+def _trigrams(blob: bytes, kinds: tuple) -> tuple[np.ndarray, ...]:
+    """The three tokens of each trigram of a bag, and its further columns."""
+    words, b, a, c, *rest = _unpack(blob, kinds)
+    words = np.cumsum(words, dtype=np.uint64)
+    return words[a], words[np.cumsum(b, dtype=np.int64)], words[c], *rest
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Trigrams with their keys in order, and summed counts."""
+    key = pair_key(pair_key(a, b), c)
+    by = np.argsort(key)
+    key = key[by]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    at = by[new]
+    return key[new], a[at], b[at], c[at], np.add.reduceat(n[by].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+
+
+def tallied(docs: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
+    """``kind, shard, key, next, n``: what the shards of trigrams tell of lower orders.
+
+    Kinds 2 and 3: number (``n``) of 2- and 3-grams with count ``key`` (1 to 4).
+    Kind 1: a shard's last tokens with the different bigrams that they end.
+    Kind 4: bigrams of a heavy first token with the different trigrams that
+    they end; they are spread over shards, so sums over these count.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        at = table.column("shard")[0].as_py()
+        parts = [_trigrams(x.as_py(), _COUNT_KINDS) for x in table.column("bag")]
+        _, _, b, c, n = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+        del parts
+        out = []
+
+        def tell(kind: int, key: np.ndarray, n: np.ndarray, after: np.ndarray | None = None) -> None:
+            out.append((np.full(len(key), kind, np.int32), np.full(len(key), at), key.astype(np.uint64).view(np.int64), (np.zeros(len(key), np.uint64) if after is None else after).view(np.int64), n.astype(np.int64)))
+
+        few = np.arange(1, 5)
+        tell(3, few, np.bincount(np.minimum(n, 5), minlength=6)[1:5])
+        # Different first tokens of each bigram, in trained texts.
+        _, where, group = np.unique(pair_key(b, c), return_index=True, return_inverse=True)
+        b, c, n = b[where], c[where], np.bincount(group, n > 0).astype(np.int64)
+        spread = np.isin(b, heavy)
+        tell(2, few, np.bincount(np.minimum(n[~spread], 5), minlength=6)[1:5])
+        tell(4, b[spread], n[spread], c[spread])
+        last, group = np.unique(c, return_inverse=True)
+        tell(1, last, np.bincount(group, (n > 0) & ~spread))
+        return pa.table(dict(zip(("kind", "shard", "key", "next", "n"), (np.concatenate(x) for x in zip(*out)))))
+
+    return checkpoint(bags(docs, shards, heavy).groupBy("shard").applyInArrow(lean_group(run), "kind int, shard long, key long, next long, n long"))
+
+
+def _cuts(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.where(n > 0, np.array([0.0, *d])[np.minimum(n, 3)], 0.0)
+
+
+class Table:
+    """Values of keys, looked up by search in their sorted order."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
         by = np.argsort(keys)
-        keys, d, g = keys[by], value.column("d").to_numpy()[by], value.column("g").to_numpy()[by]
-        marks, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for blob in bag.column("bag") if len(keys) else ():
-            delta, place, n, m, b, known = _unpack(blob.as_py(), (np.uint64, np.uint32, np.uint32, np.uint32, np.float32, np.int64))
-            key = np.cumsum(delta, dtype=np.uint64)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == key)
-            if len(hit):
-                at = at[hit]
-                total = np.zeros(len(known), np.int64)
-                np.add.at(total, place[hit], np.round((n[hit] * d[at] + m[hit] * g[at] - b[hit]) * 1e6).astype(np.int64))
-                some = np.unique(place[hit])
-                marks.append(known[some])
-                sums.append(total[some])
-        return pa.table({"mark": np.concatenate(marks), "change": np.concatenate(sums)})
-
-    bag = rows.select("doc_id", "text").where("text <> ''").mapInArrow(lean(bags), "shard long, bag binary").groupBy("shard")
-    value = values.withColumn("shard", F.pmod(F.shiftrightunsigned("key", 40), F.lit(shards))).groupBy("shard")
-    seen = bag.cogroup(value).applyInArrow(changes, "mark long, change long").groupBy("mark").agg(F.sum("change").alias("change"))
+        self.keys, self.values = keys[by], [v[by] for v in values]
+
+    def get(self, keys: np.ndarray, *missing: float) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.full(len(keys), m) for m in missing]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return [np.where(hit, v[at], m) for v, m in zip(self.values, missing)]
+
+
+def _contexts(keys: np.ndarray, n: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts with their summed counts and what is cut off these."""
+    known, group = np.unique(keys, return_inverse=True)
+    return known, np.bincount(group, n, len(known)), np.bincount(group, cut, len(known))
+
+
+def log_losses(docs: DataFrame, losses: Losses) -> DataFrame:
+    """``doc_id, lang, chars, letters, loss``: code points of every row and summed log-losses, by the characters alone and by the words.
+
+    ``docs`` has ``doc_id, lang, text, trained``; the words' counts are those
+    of the rows that are ``trained``.  Trigrams travel twice, packed: once for
+    counts of counts and lower orders, once to be scored in their shard.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(losses)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "trained")
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows as if no token had been seen."""
+        table = held.value.dense()
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            chars, letters, tokens, steps = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for _, _, part, offs in blocks(data, offsets):
+                total = spelling(part, offs, table)
+                starts, _, row = token_spans(part, offs)
+                chars.append(np.diff(np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[offs]))
+                letters.append(np.round(np.diff(total[offs]), 6))
+                tokens.append(np.bincount(row, minlength=len(offs) - 1))
+                own = np.bincount(row, spelled(total, starts, row, offs), len(offs) - 1) / _SPELL_STEPS if len(row) else letters[-1]
+                steps.append(np.where(tokens[-1] > 0, own, letters[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(_row_marks(batch.column(0).to_pylist(), data, offsets)), batch.column(0), batch.column(1), pa.array(np.concatenate(chars), pa.int64()), pa.array(np.concatenate(letters), pa.float64()), pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(steps), pa.float64())], ["mark", "doc_id", "lang", "chars", "letters", "tokens", "steps"])
+
+    found = checkpoint(rows.select("doc_id", "lang", "text").mapInArrow(lean(base), "mark long, doc_id long, lang string, chars long, letters double, tokens long, steps double"))
+    shards = 1 + (found.agg(F.sum("chars")).first()[0] or 0) // SHARD_CHARS
+    heavy = heavy_words(rows, shards)
+    told = tallied(rows, shards, heavy)
+
+    spread = checkpoint(told.where("kind = 4").groupBy("key", "next").agg(F.sum("n").alias("n")))
+    ends = told.where("kind = 1").select("key", "n").unionByName(spread.where("n > 0").groupBy(F.col("next").alias("key")).agg(F.count("*").alias("n")))
+    single = checkpoint(ends.groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"))
+    of_counts = {(r["kind"], r["key"]): r["n"] for r in told.where("kind in (2, 3)").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}
+    for r in spread.where("n between 1 and 4").groupBy("n").agg(F.count("*").alias("k")).collect():
+        of_counts[2, r["n"]] = of_counts.get((2, r["n"]), 0) + r["k"]
+    d1 = discounts({r["n"]: r["k"] for r in single.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()})
+    d2, d3 = (discounts({n: of_counts.get((order, n), 0) for n in few}) for order, few in ((2, range(1, 5)), (3, range(1, 5))))
+    cut = lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    total = single.agg(F.sum("n").alias("all"), F.sum(cut(d1)).alias("left")).first()
+    if not total["all"]:
+        return found.select("doc_id", "lang", "chars", "letters", F.round("steps", 6).alias("loss"))
+    unseen, all_ends = -float(np.log(total["left"] / total["all"])), total["all"]
+
+    # What each shard needs of the orders that it doesn't hold.
+    needs = told.where("kind = 1").select("shard", "key").join(single, "key").select("shard", F.lit(1).alias("kind"), "key", F.lit(0).cast("long").alias("next"), "n", F.lit(0.0).alias("left"))
+    pairs = told.where("kind = 4").select("shard", "key", "next").join(spread.where("n > 0"), ["key", "next"]).select("shard", F.lit(4).alias("kind"), "key", "next", "n", F.lit(0.0).alias("left"))
+    sums = spread.where("n > 0").groupBy("key").agg(F.sum("n").alias("n"), F.sum(cut(d2)).alias("left"))
+    backs = told.where("kind = 4").select("shard", "key").distinct().join(sums, "key").select("shard", F.lit(5).alias("kind"), "key", F.lit(0).cast("long").alias("next"), "n", "left")
+    values = needs.unionByName(pairs).unionByName(backs)
+
+    def score(bag: pa.Table, value: pa.Table) -> pa.Table:
+        """What seen n-grams of a shard change of each row's base, in whole millionths, so that sums don't depend on their order."""
+        bag_, place_, marks_ = [], [], []
+        if not bag.num_rows:
+            return pa.table({"name": pa.array([], pa.int64()), "sums": pa.array([], pa.binary()), "marks": pa.array([], pa.binary())})
+        kind, key, after, n, left = (value.column(x).to_numpy() for x in ("kind", "key", "next", "n", "left"))
+        key, after = key.view(np.uint64), after.view(np.uint64)
+        parts = []
+        for x in bag.column("bag"):
+            a, b, c, _, _, flag, _, _ = _trigrams(x.as_py(), _SCORE_KINDS)
+            own = flag.astype(bool)
+            parts.append(_distinct(a[own], b[own], c[own], flag[own])[1:])
+        k3, a, b, c, n3 = _distinct(*(np.concatenate(x) for x in zip(*parts)))
+        del parts
+        cut3 = _cuts(n3, d3)
+        third, back3 = Table(k3, n3 - cut3), Table(*_contexts(pair_key(a, b), n3, cut3))
+        k2, where, n2 = np.unique(pair_key(b, c), return_index=True, return_counts=True)
+        b = b[where]
+        plain = ~np.isin(b, heavy)
+        k2, b, n2 = k2[plain], b[plain], n2[plain]
+        cut2 = _cuts(n2, d2)
+        known, all2, left2 = _contexts(b, n2, cut2)
+        far, far_back = kind == 4, kind == 5
+        second = Table(np.concatenate([k2, pair_key(key[far], after[far])]), np.concatenate([n2 - cut2, n[far] - _cuts(n[far], d2)]))
+        back2 = Table(np.concatenate([known, key[far_back]]), np.concatenate([all2, n[far_back]]).astype(float), np.concatenate([left2, left[far_back]]))
+        one = kind == 1
+        first = Table(key[one], (n[one] - _cuts(n[one], d1)) / all_ends)
+        for x in bag.column("bag"):
+            a, b, c, place, cost, _, name, marks = _trigrams(x.as_py(), _SCORE_KINDS)
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+            at = np.cumsum(new) - 1
+            a, b, c = a[new], b[new], c[new]
+            (p,) = first.get(c, 0.0)
+            seen = p > 0
+            p = np.where(seen, p, 1.0)
+            for own, (whole, rest) in ((second.get(pair_key(b, c), 0.0)[0], back2.get(b, 1.0, 1.0)), (third.get(pair_key(pair_key(a, b), c), 0.0)[0], back3.get(pair_key(a, b), 1.0, 1.0))):
+                p = own / whole + rest / whole * p
+            change = np.round((-np.log(p)[at] - seen[at] * (cost / _SPELL_STEPS + unseen)) * 1e6)
+            used, group = np.unique(place, return_inverse=True)
+            bag_.append(int(name[0]))
+            place_.append(_pack([np.diff(used, prepend=np.uint32(0)), np.bincount(group, change).astype(np.int64)]))
+            marks_.append(marks.tobytes())
+        return pa.table({"name": pa.array(bag_, pa.int64()), "sums": pa.array(place_, pa.binary()), "marks": pa.array(marks_, pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        """Changes of a bag's rows over its shards; bags of equal rows add up."""
+        marks = np.frombuffer(max((x.as_py() for x in table.column("marks")), key=len), np.int64)
+        total = np.zeros(len(marks), np.int64)
+        for x in table.column("sums"):
+            used, change = _unpack(x.as_py(), (np.uint32, np.int64))
+            total[np.cumsum(used, dtype=np.int64)] += change
+        return pa.table({"mark": marks, "change": total})
+
+    scored = bags(rows, shards, heavy, held).groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(score, "name long, sums binary, marks binary")
+    seen = scored.groupBy("name").applyInArrow(lean_group(summed), "mark long, change long").groupBy("mark").agg(F.sum("change").alias("change"))
     copies = found.groupBy("mark").agg(F.count("*").alias("copies"))
     per_row = seen.join(copies, "mark").select("mark", (F.col("change") / F.col("copies") / 1e6).alias("change"))
-    return found.join(per_row, "mark", "left").select("doc_id", "lang", "chars", "letters", F.round(F.col("base") + F.coalesce("change", F.lit(0.0)), 6).alias("loss"))
+    return found.join(per_row, "mark", "left").select("doc_id", "lang", "chars", "letters", F.round(F.col("steps") + unseen * F.col("tokens") + F.coalesce("change", F.lit(0.0)), 6).alias("loss"))
 
 
 def drawn_and_limit(known: DataFrame, loss: str, quantile: float) -> tuple[Column, Column] | None:
@@ -461,9 +586,10 @@ def drawn_and_limit(known: DataFrame, loss: str, quantile: float) -> tuple[Colum
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id, lang, n_chars, perplexity, threshold, keep`` for every row."""
     ids = trusted_ids(labels)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids.where("not calibrates"), "doc_id", "left_semi").select("text")
-    losses = train(texts)
-    scored = checkpoint(log_losses(docs, losses, *word_values(checkpoint(word_counts(texts)))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(ids, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce(~F.col("calibrates") & F.col("text").isNotNull(), F.lit(False)).alias("trained"))
+    losses = train(rows.where("trained").select("text"))
+    scored = checkpoint(log_losses(rows, losses))
     known = scored.where("chars > 0").join(ids.where("calibrates"), "doc_id", "left_semi")
     words, letters = drawn_and_limit(known, "loss", quantile), drawn_and_limit(known, "letters", quantile)
     if words is None or letters is None:

@@ -790,15 +790,15 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(p, 1, atol=1e-4)
 
 
-def test_word_model_equals_definition(spark):
+# One shard; some shards, with a few tokens spread over them; a shard for few characters, with all tokens but rare ones spread.
+@pytest.mark.parametrize("shard_chars", [1_000_000, 400, 60])
+def test_word_model_equals_definition(spark, monkeypatch, shard_chars):
     rnd = random.Random(21)
     made = lambda: " ".join(rnd.choice(["a", "B", "b", "cd", "é", "7", "8", "x, y"]) for _ in range(rnd.randint(1, 12)))
     cut = lambda t: [x for x in re.findall(r"[a-zA-Z0-9é]+|[^a-zA-Z0-9é]+", t) if x != " "]
     trusted, asked = [made() for _ in range(60)], [*[made() for _ in range(30)], "new a", "a new", " ", " a", "new", "a  b"]
     texts = frame(spark, [(t,) for t in trusted], "text string")
     losses = quality.train(texts)
-    values, unseen = quality.word_values(quality.word_counts(texts))
-    assert unseen > 0
     grams = {3: Counter()}
     for t in trusted:
         t = ["<s>", "<s>", *cut(t)]
@@ -820,7 +820,9 @@ def test_word_model_equals_definition(spark):
         return (c - off(n, c) if c else 0) / sum(own) + sum(off(n, x) for x in own) / sum(own) * less
 
     rows = [*enumerate(asked), (0, asked[0]), (70, None)]
-    got = quality.log_losses(frame(spark, [(i, t, "en") for i, t in rows], "doc_id long, text string, lang string"), losses, values, unseen).collect()
+    given = [*[(i, t, "en", False) for i, t in rows], *[(1000 + i, t, "en", True) for i, t in enumerate(trusted)]]
+    monkeypatch.setattr(quality, "SHARD_CHARS", shard_chars)
+    got = quality.log_losses(frame(spark, given, "doc_id long, text string, lang string, trained boolean"), losses).where("doc_id < 1000").collect()
     assert len(got) == len(rows)
     for i, t in rows[:30]:
         w = ["<s>", "<s>", *cut(t)]
