@@ -790,8 +790,8 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose(p, 1, atol=1e-4)
 
 
-# One shard; some shards, with a few tokens spread over them; a shard for few characters, with all tokens but rare ones spread.
-@pytest.mark.parametrize("shard_chars", [1_000_000, 400, 60])
+# One shard; two or so, each token in one of them; more, where all common tokens are spread.
+@pytest.mark.parametrize("shard_chars", [1_000_000, 1_000, 400, 60])
 def test_word_model_equals_definition(spark, monkeypatch, shard_chars):
     rnd = random.Random(21)
     made = lambda: " ".join(rnd.choice(["a", "B", "b", "cd", "é", "7", "8", "x, y"]) for _ in range(rnd.randint(1, 12)))
