@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legal, text, tokens
 from ..operators import bm25, chunking, dense, gold, hybrid, metrics, pairs
-from . import evaluation, tables
+from . import builders, evaluation, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -524,6 +524,15 @@ def hard_negatives(spark, d):
     return pairs.hard_negatives(_hybrid(spark, d).select("query_id", "doc_id", "rank"), chunks, protected, positives).select("query_id", "doc_id", "parent_id")
 
 
+@query(f"""WITH {HYBRID}, pos AS (SELECT item_id AS query_id, doc_id, 1 AS label FROM benchmark JOIN documents t ON doc_id // 4 = item_id // 4 WHERE t.text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 2),
+neg AS (SELECT query_id, doc_id, 0 AS label FROM bmr WHERE rank <= 80 AND doc_id // 4 <> query_id // 4 AND query_id IN (SELECT query_id FROM pos) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5)
+SELECT * FROM pos UNION ALL SELECT * FROM neg""")
+def clean_pairs(spark, d):
+    chunks = tables.articles(spark, d).select("doc_id", "id", F.floor(F.col("doc_id") / 4).cast("long").alias("parent_id"), F.col("doc_id").alias("chunk_index"))
+    asked = tables.questions(spark, d).select("query_id", F.floor(F.col("query_id") / 4).cast("long").alias("positive_parent_id"))
+    return builders.clean_pairs(asked, chunks, _words(spark, d, 80)).select("query_id", "doc_id", "label")
+
+
 def _labelled(spark, d) -> DataFrame:
     docs = tables.table(spark, d, "documents").where("text is not null")
     return docs.select(F.col("source").alias("query_id"), F.col("source").alias("query"), F.col("text").alias("passage"), (F.col("doc_id") % 3 == 0).cast("int").alias("label"), F.col("doc_id").alias("position"))

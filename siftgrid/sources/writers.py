@@ -25,9 +25,15 @@ def union_of(parts: list[DataFrame], ordered: bool = True) -> DataFrame:
     return out if ordered else out.select(*sorted(out.columns))
 
 
+#: A summary has so many rows at most.
+MAX_SUMMARY_ROWS = 1000
+
+
 def summary_json(df: DataFrame) -> str:
-    """A one-row summary as indented JSON; for counters and metrics, not for tables."""
-    rows = [r.asDict(recursive=True) for r in df.limit(1000).collect()]
+    """A summary as indented JSON; for counters and metrics, longer tables are an error."""
+    rows = [r.asDict(recursive=True) for r in df.limit(MAX_SUMMARY_ROWS + 1).collect()]
+    if len(rows) > MAX_SUMMARY_ROWS:
+        raise ValueError(f"a summary has at most {MAX_SUMMARY_ROWS} rows")
     return json.dumps(rows[0] if len(rows) == 1 else rows, ensure_ascii=False, indent=2)
 
 
