@@ -70,6 +70,8 @@ COLUMNS = 4_096
 #: Rows of (id, group) that are broadcast to pick texts for verification; beyond, a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
 LEAST_GROUPS = 256
+#: Links that find their components in tasks of so many, and up to how many in all.
+EDGES_PER_TASK, SMALL_EDGES = 10_000, 2_000_000
 
 _RNG = np.random.default_rng(77)
 _STEP = _RNG.integers(1 << 62, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -459,23 +461,34 @@ def link_across(frame: DataFrame, members: DataFrame, labels: DataFrame, idf) ->
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, label``: the least node of each component, for nodes that have links."""
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    """``node, label``: the least node of each component, for nodes that have links.
+
+    Up to ``SMALL_EDGES`` links are dealt to one task per ``EDGES_PER_TASK``,
+    once for each end, whatever the session's number of partitions; more go
+    through its partitions, where adaptive joins split popular nodes.
+    """
+    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    n = edges.count()
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.repartition(4 + n // EDGES_PER_TASK, "u") if n <= SMALL_EDGES else rows
+
+    edges = placed(edges).distinct()
     seen = None
     while True:
         # Large star: larger neighbours of u go to the least of u and its neighbours.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = placed(edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = placed(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct()
         # Small star: u and its smaller neighbours go to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = checkpoint(small)
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        edges = checkpoint(placed(small).distinct())
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == seen:
             break
         seen = state
-    roots = edges.select(F.col("v").alias("u")).distinct().select(F.col("u").alias("node"), F.col("u").alias("label"))
+    roots = placed(edges.select(F.col("v").alias("u"))).distinct().select(F.col("u").alias("node"), F.col("u").alias("label"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 

@@ -142,6 +142,27 @@ def test_components_of_a_long_chain(spark):
     assert set(labels.values()) == {0, 500} and len(labels) == 203
 
 
+@pytest.mark.parametrize("small", [-1, 2_000_000])
+def test_components_in_tasks_by_links_or_by_session(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "SMALL_EDGES", small)
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, i) for i in range(1001, 1300)] + [(7, 7)]
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    labels = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert labels == {x: root(x) for x in parent}
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     # Every draw of every pair is one trial: 300 pairs x 104 draws, so the share is known to about 0.01.
     rnd = np.random.default_rng(3)
