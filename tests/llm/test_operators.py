@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import pathlib
 import os
 import random
 import re
@@ -851,6 +852,41 @@ def test_word_model_equals_definition(spark, monkeypatch, shard_chars):
         assert all(r["loss"] == pytest.approx(want, abs=1e-4) for r in got if r["doc_id"] == i)
 
 
+def test_word_model_is_the_same_with_few_known_tokens_and_many_shards(spark, monkeypatch):
+    rnd = random.Random(23)
+    # Also tokens that no trained text has, texts without tokens, and rows that repeat.
+    text = lambda rare: " ".join(rnd.choice(["of", "of", "the", f"w{rnd.randint(0, 40)}", f"{rare}{rnd.randint(0, 200)}"]) for _ in range(rnd.randint(1, 30)))
+    rows = [(i, text("r" if i % 2 else "n"), "en", i % 3 == 0) for i in range(120)]
+    docs = frame(spark, [*rows, rows[1], (500, "", "en", False), (501, None, None, False), (None, " ", None, False)], "doc_id long, text string, lang string, trained boolean")
+    losses = quality.train(docs.where("trained").select("text"))
+    want = sorted(map(tuple, quality.log_losses(docs, losses).collect()), key=str)
+    assert len(want) == 124
+    for known, shard_chars, bag in ((1 << 21, 500, 3_000), (20, 500, 3_000), (0, 2_000, 8_000_000)):
+        for name, value in (("MAX_KNOWN", known), ("SHARD_CHARS", shard_chars), ("BAG_BYTES", bag)):
+            monkeypatch.setattr(quality, name, value)
+        got = sorted(map(tuple, quality.log_losses(docs, losses).collect()), key=str)
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-3)
+
+
+def test_word_model_writes_little_to_disk(spark, monkeypatch):
+    rnd = random.Random(24)
+    names = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) for _ in range(20_000)]
+    rows = [(i, " ".join(names[int(rnd.paretovariate(0.6)) % 20_000] for _ in range(300)), "en", i % 4 == 0) for i in range(1500)]
+    docs = frame(spark, rows, "doc_id long, text string, lang string, trained boolean").coalesce(2).localCheckpoint()
+    size = sum(len(t) for _, t, _, _ in rows)
+    monkeypatch.setattr(quality, "SHARD_CHARS", size // 20)
+    losses = quality.train(docs.where("trained").select("text"))
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(spark.sparkContext._jvm.java.net.URI(spark.sparkContext._jsc.sc().getCheckpointDir().get()).getPath())
+    files = lambda: {str(f): f.stat().st_size for d in folders for pattern in ("shuffle_*.data", "part-*") for f in pathlib.Path(d).rglob(pattern)}
+    before = files()
+    out = quality.log_losses(docs, losses)
+    assert len(out.collect()) == len(rows)
+    written = sum(n for f, n in files().items() if f not in before)
+    assert written < 0.85 * size
+
+
 def test_word_order_is_seen(spark):
     rnd = random.Random(22)
     # All words begin and end alike, so four characters show nothing of their order.
