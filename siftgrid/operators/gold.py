@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,13 @@ def resolve(references: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFr
     return found.groupBy(*keys).agg(F.array_sort(F.collect_set("id")).alias("gold_ids"))
 
 
-def infer_law(rows: DataFrame, names: DataFrame, fields: list[str], key: str) -> DataFrame:
+def infer_law(rows: DataFrame, names: DataFrame, fields: list[str], key: str, fold: Callable[[Column], Column] = normalize) -> DataFrame:
     """``key, law_no``: an exact field in field order, else the longest name that any field holds.
 
     Names are a dimension and broadcast; the text test runs only for rows
-    without an exact field.
+    without an exact field.  ``fold`` makes of a field what names are made of.
     """
-    tidy = [normalize(F.coalesce(F.col(c), F.lit(""))) for c in fields]
+    tidy = [fold(F.coalesce(F.col(c), F.lit(""))) for c in fields]
     frame = rows.select(key, F.array(*tidy).alias("fields"))
     exact = frame.select(key, F.posexplode("fields").alias("at", "name")).join(F.broadcast(names), "name").groupBy(key).agg(F.min_by("law_no", "at").alias("law_no"))
     rest = frame.join(exact.select(key), key, "left_anti").select(key, F.array_join("fields", " ").alias("joined"))
