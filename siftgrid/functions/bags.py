@@ -154,10 +154,16 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of each one's numbers."""
     if not len(keys):
         return keys, n
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    # Sorted as one number where both fit, which is several times faster than an order.
+    bits = int(n.max()).bit_length()
+    if int(keys.max()).bit_length() + bits < 63:
+        both = np.sort(keys << bits | n)
+        keys, n = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(n[order], first)
+    return keys[first], np.add.reduceat(n, first)
 
 
 def bag(words: Words, least: int = 1, with_grams: bool = True, names: dict[str, str] | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -275,10 +281,16 @@ def frequencies(kept: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 0, BATCH_WORDS):
             words, _ = of_bags(batch, 0, 1)
-            terms, _, codes, _ = bag(words, 2)
-            df = np.bincount(codes, minlength=len(terms))
-            seen = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([terms.take(pa.array(seen)), pa.array(df[seen])], ["term", "df"])
+            # A word is in a bag once; its n-grams may come from other words too.
+            yield pa.RecordBatch.from_arrays([words.words, pa.array(np.bincount(words.codes, minlength=len(words.words)))], ["term", "df"])
+            own, owner = grams(words.words)
+            coded = own.dictionary_encode()
+            starts, entries = by_owner(owner, len(words.words))
+            pick, place = spread_out(starts, words.codes)
+            size = max(1, len(coded.dictionary))
+            keys = np.sort(words.texts[pick] * size + coded.indices.to_numpy(zero_copy_only=False)[entries[place]])
+            df = np.bincount(keys[np.concatenate([[True], keys[1:] != keys[:-1]])] % size if len(keys) else keys, minlength=len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar("char:"), coded.dictionary, ""), pa.array(df)], ["term", "df"])
 
     return kept.select("words", "counts").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
