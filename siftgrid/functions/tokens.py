@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .text import normalize
 
@@ -121,9 +123,20 @@ TITLE_MATCH, SINGLE_MATCH_CAP = 0.82, 0.45
 def title_relevance(question: Column, title: Column) -> Column:
     """How directly a title names what a question asks for, from 0 to 1."""
     q, t = content_set(question, "titles"), content_set(title, "titles")
-    q_hit = F.size(F.filter(q, lambda x: F.exists(t, lambda y: term_similarity(x, y) >= TITLE_MATCH)))
-    t_hit = F.size(F.filter(t, lambda y: F.exists(q, lambda x: term_similarity(x, y) >= TITLE_MATCH)))
-    q_share, t_share = q_hit / F.greatest(F.size(q), F.lit(1)), t_hit / F.greatest(F.size(t), F.lit(1))
-    single = F.least(F.lit(SINGLE_MATCH_CAP), SINGLE_MATCH_CAP * t_share)
-    many = F.least(F.lit(1.0), 0.35 * q_share + 0.65 * t_share)
-    return F.when(q_hit == 0, 0.0).when((q_hit == 1) & (t_hit == 1), single).otherwise(many)
+
+    def similar(x: str, y: str, a: set, b: set) -> bool:
+        return x == y or bool(a and b) and 2 * len(a & b) / (len(a) + len(b)) >= TITLE_MATCH
+
+    def score(asked: list, named: list) -> float:
+        left, right = ([(x, {x[i : i + GRAM] for i in range(len(x) - GRAM + 1)}) for x in side] for side in (asked, named))
+        hits = [(x, y) for x, a in left for y, b in right if similar(x, y, a, b)]
+        q_hit, t_hit = len({x for x, _ in hits}), len({y for _, y in hits})
+        t_share = t_hit / max(1, len(named))
+        if q_hit == 0:
+            return 0.0
+        return min(SINGLE_MATCH_CAP, SINGLE_MATCH_CAP * t_share) if q_hit == 1 and t_hit == 1 else min(1.0, 0.35 * (q_hit / max(1, len(asked))) + 0.65 * t_share)
+
+    def run(asked: pd.Series, named: pd.Series) -> pd.Series:
+        return pd.Series([score(list(x), list(y)) for x, y in zip(asked, named)], dtype="float64")
+
+    return pandas_udf(run, "double")(q, t)
